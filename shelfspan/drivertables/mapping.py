@@ -7,7 +7,7 @@ decimals, so that sums do not depend on the order they are formed in.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,8 +33,13 @@ class Tables:
     spark: SparkSession
     folder: str
 
+    _read: dict[str, DataFrame] = field(default_factory=dict)
+
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        """A table, its schema looked up once."""
+        if name not in self._read:
+            self._read[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._read[name]
 
     # --- dimensions ---------------------------------------------------------------
 
@@ -53,8 +58,8 @@ class Tables:
         return self.nations().where("branch_name != 'NATION_24'")
 
     def places(self) -> DataFrame:
-        """Locations without their stock."""
-        customers = self.table("customer").select(
+        """Locations by branch number, without their stock."""
+        return self.table("customer").select(
             F.col("c_custkey").alias("location_id"),
             F.col("c_name").alias("code"),
             code_key(F.col("c_name")).alias("code_norm"),
@@ -62,8 +67,10 @@ class Tables:
             "c_mktsegment",
             "c_acctbal",
         )
-        names = self.nations().select("branch_id", "branch_name")
-        return customers.join(names, "branch_id", "left")
+
+    def named_places(self) -> DataFrame:
+        """Locations with name and area of their branch."""
+        return self.places().join(self.nations(), "branch_id", "left")
 
     def stock(self) -> DataFrame:
         """Locations with the value and date of their pending orders."""
@@ -71,7 +78,7 @@ class Tables:
             F.sum("price").alias("stock_total"),
             F.date_format(F.max("o_orderdate"), "yyyy-MM-dd").alias("as_of"),
         )
-        return self.places().join(pending, "location_id", "left").select(
+        return self.named_places().join(pending, "location_id", "left").select(
             "location_id",
             "branch_id",
             "branch_name",
@@ -111,9 +118,8 @@ class Tables:
         else:
             on_shelf = F.lit(None).cast("decimal(38,2)")
         cells = self._by_location(rows, capacity_physical=F.sum("price"), stock_on_shelf=on_shelf)
-        places = self.places().join(self.nations().drop("branch_name"), "branch_id", "left")
-        return cells.join(places, "location_id").select(
-            "branch_id", "branch_name", "area", "code", "code_norm", category(), "type", "marking",
+        return cells.join(self.places(), "location_id").select(
+            "branch_id", "code", "code_norm", category(), "type", "marking",
             "capacity_physical", "stock_on_shelf",
         )
 
@@ -128,8 +134,7 @@ class Tables:
 
     def capacity_orders(self, status: str) -> DataFrame:
         """Capacity rows one by one, as they come before any summing."""
-        places = self.places().join(self.nations().drop("branch_name"), "branch_id", "left")
-        return self.orders(status).join(places, "location_id").select(
+        return self.orders(status).join(self.named_places(), "location_id").select(
             "o_orderkey", "branch_id", "branch_name", "area", "code", "code_norm", category(),
             F.col("price").alias("capacity_physical"), "c_mktsegment", "c_acctbal",
         )
@@ -147,7 +152,7 @@ class Tables:
 
     def depot_map(self) -> DataFrame:
         """Code map that only applies once a branch has been renumbered."""
-        overdrawn = self.places().where("c_acctbal < 0 and branch_name = 'NATION_4'")
+        overdrawn = self.named_places().where("c_acctbal < 0 and branch_name = 'NATION_4'")
         return overdrawn.select(
             F.lit(9).cast("bigint").alias("branch_id"),
             F.col("code").alias("source_code"),
@@ -158,7 +163,7 @@ class Tables:
 
     def voting_rows(self) -> DataFrame:
         """Capacity rows with unclear areas and missing branch numbers."""
-        places = self.places().join(self.nations().drop("branch_name"), "branch_id", "left")
+        places = self.named_places()
         unnumbered = F.col("c_acctbal") < 0
         area = (
             F.when(F.col("area") == "ASIA", None)
@@ -192,7 +197,7 @@ class Tables:
         """Locations under short codes that many of them share."""
         bucket = F.floor(F.col("c_acctbal") / 1375).cast("string")
         short = F.concat(F.substring("c_mktsegment", 1, 1), bucket)
-        return self.places().withColumns({"code": short, "code_norm": code_key(short)})
+        return self.named_places().withColumns({"code": short, "code_norm": code_key(short)})
 
     def named_keys(self) -> DataFrame:
         """Reallocation rows naming shelves by code only, by number, or by branch name."""
@@ -214,7 +219,14 @@ class Tables:
     # --- the model ----------------------------------------------------------------------
 
     def inputs(self, shelf: bool = False) -> ModelInputs:
-        return ModelInputs(self.stock(), self.branches(), self.physical(shelf), self.realloc())
+        physical = self.physical(shelf)
+        return ModelInputs(self.stock(), self.branches(), physical, self.realloc())
+
+    def checked_inputs(self) -> ModelInputs:
+        """Inputs with what only the quality checks look at: branch names, areas, warehouse."""
+        plain = self.inputs()
+        named = plain.physical.join(self.nations(), "branch_id", "left")
+        return replace(plain, physical=named)
 
     def model(self, shelf: bool = False) -> Model:
         """The model over these tables, as one lazy plan."""

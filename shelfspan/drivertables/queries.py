@@ -14,6 +14,7 @@ from shelfspan.fixed_values import BLANK_OPTION, CAPACITY_ALIASES
 from shelfspan.functions.text import code_key
 from shelfspan.operators import areas, conform, flags, keys, ordered
 from shelfspan.plans import explore, facts, quality
+from shelfspan.plans.model import Model
 from shelfspan.sources import text as txt
 
 QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
@@ -124,7 +125,7 @@ def metrics_grouping_sets(t: Tables) -> DataFrame:
 
 @query
 def location_map(t: Tables) -> DataFrame:
-    return flags.location_map(t.shelves()).select("branch_id", "code_norm", "location_id")
+    return flags.location_map(t.shelves())
 
 
 @query
@@ -175,8 +176,7 @@ def warehouse_append(t: Tables) -> DataFrame:
 
 @query
 def area_mode(t: Tables) -> DataFrame:
-    places = t.places().join(t.nations().drop("branch_name"), "branch_id")
-    return areas.mode_area(places, "c_mktsegment")
+    return areas.mode_area(t.named_places(), "c_mktsegment")
 
 
 @query
@@ -220,7 +220,7 @@ def branch_from_catalogue(t: Tables) -> DataFrame:
     rows = suppliers.join(nations, "branch_id", "left").select(
         "s_suppkey", known.alias("branch_id"), messy.alias("branch_name")
     )
-    catalogue = t.places().withColumn("branch_name", F.lower("branch_name"))
+    catalogue = t.named_places().withColumn("branch_name", F.lower("branch_name"))
     return keys.fill_branch_from_catalogue(rows, catalogue, ["location_id"])
 
 
@@ -394,7 +394,7 @@ def dq_no_branch(t: Tables) -> DataFrame:
 
 @query
 def dq_report(t: Tables) -> DataFrame:
-    return t.model().dq_report
+    return Model(t.checked_inputs(), CONFIG).dq_report
 
 
 # --- reader queries ---------------------------------------------------------------------------

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,23 +35,20 @@ def flag_realloc(stock: DataFrame, realloc: DataFrame) -> DataFrame:
     return found.select(*stock.columns, flag)
 
 
-def location_map(locations: DataFrame) -> DataFrame:
+def location_map(locations: DataFrame, attributes: Sequence[str] = ()) -> DataFrame:
     """For each branch and code the location that stands for them: the smallest id.
 
-    Its attributes come along, so that facts need no further join to the locations.
+    Attributes of that location can come along, so that facts need no join to locations.
     """
-    attributes = [
-        c for c in ("location_id", "code", "branch_name", "is_realloc", "as_of")
-        if c in locations.columns
-    ]
-    lowest = F.min_by(F.struct(*attributes), "location_id").alias("_lowest")
     keyed = locations.where("branch_id is not null and code_norm is not null")
-    return keyed.groupBy("branch_id", "code_norm").agg(lowest).select(
-        "branch_id", "code_norm", "_lowest.*"
-    )
+    groups = keyed.groupBy("branch_id", "code_norm")
+    if not attributes:
+        return groups.agg(F.min("location_id").alias("location_id"))
+    chosen = F.struct("location_id", *attributes)
+    lowest = groups.agg(F.min_by(chosen, "location_id").alias("_lowest"))
+    return lowest.select("branch_id", "code_norm", "_lowest.*")
 
 
 def attach_location_id(df: DataFrame, loc_map: DataFrame) -> DataFrame:
     """Location id and attributes for rows keyed by branch and code, null when unknown."""
-    extra = [c for c in loc_map.columns if c not in ("branch_id", "code_norm")]
-    return df.drop(*extra).join(loc_map, ["branch_id", "code_norm"], "left")
+    return df.join(loc_map, ["branch_id", "code_norm"], "left")

@@ -11,15 +11,15 @@ from pyspark.sql import functions as F
 
 from shelfspan.functions.numeric import total
 from shelfspan.functions.text import null_to_blank
-from shelfspan.operators.flags import attach_location_id, location_map
+from shelfspan.operators.flags import attach_location_id
 
 CELL = ("branch_id", "code_norm", "category")
 
 
 def capacity_cells(
-    physical: DataFrame, realloc: DataFrame, locations: DataFrame, all_null_sum: str = "zero"
+    physical: DataFrame, realloc: DataFrame, all_null_sum: str = "zero"
 ) -> DataFrame:
-    """Both capacities of every cell side by side, with the location they belong to.
+    """Both capacities of every cell side by side.
 
     Rows of the two sources are stacked and summed in one aggregation.  That settles at
     once what joins between two facts would: which cells both have, which only one has.
@@ -62,37 +62,35 @@ def capacity_cells(
                 )
             }
         )
-    return attach_location_id(sums, location_map(locations))
+    return sums
 
 
 def fact_physical(physical: DataFrame, loc_map: DataFrame, all_null_sum: str = "zero") -> DataFrame:
-    """Physical capacity and shelf stock per cell."""
+    """Physical capacity and shelf stock per cell, with the id of the location."""
     sums = physical.groupBy(*CELL).agg(
         total(F.col("capacity_physical"), all_null_sum).alias("capacity_physical"),
         total(F.col("stock_on_shelf"), all_null_sum).alias("stock_on_shelf"),
     )
-    ids = loc_map.select("branch_id", "code_norm", "location_id")
-    return attach_location_id(sums, ids)
+    return attach_location_id(sums, loc_map)
 
 
 def fact_realloc(realloc: DataFrame, loc_map: DataFrame, all_null_sum: str = "zero") -> DataFrame:
-    """Planned capacity per cell."""
+    """Planned capacity per cell, with the id of the location."""
     sums = realloc.groupBy(*CELL).agg(
         total(F.col("capacity_realloc"), all_null_sum).alias("capacity_realloc")
     )
-    ids = loc_map.select("branch_id", "code_norm", "location_id")
-    return attach_location_id(sums, ids)
+    return attach_location_id(sums, loc_map)
 
 
 def physical_part(cells: DataFrame) -> DataFrame:
-    """The physical fact, read off the cells."""
+    """The physical fact, read off the located cells."""
     return cells.where("has_physical").select(
         *CELL, "capacity_physical", "stock_on_shelf", "location_id"
     )
 
 
 def realloc_part(cells: DataFrame) -> DataFrame:
-    """The reallocation fact, read off the cells."""
+    """The reallocation fact, read off the located cells."""
     return cells.where("has_realloc").select(*CELL, "capacity_realloc", "location_id")
 
 
@@ -119,9 +117,9 @@ def _lookup(rows: DataFrame, attributes: dict[str, str], loc_map: DataFrame) ->
         "code_norm",
         *[null_to_blank(F.col(c)).alias(name) for c, name in attributes.items()],
     ).distinct()
-    ids = loc_map.select("branch_id", "code_norm", "location_id").where("location_id is not null")
     # Branch and code stand for exactly one location, so the rows stay distinct.
-    return named.join(ids, ["branch_id", "code_norm"]).select("location_id", *attributes.values())
+    located = named.join(loc_map.where("location_id is not null"), ["branch_id", "code_norm"])
+    return located.select("location_id", *attributes.values())
 
 
 def lookup_physical(capacity: DataFrame, loc_map: DataFrame) -> DataFrame:

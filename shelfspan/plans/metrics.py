@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfspan.config import ModelConfig
 from shelfspan.functions.numeric import guarded_pct, guarded_ratio
+from shelfspan.operators.flags import location_map
 
 EFFECTIVE = (
     "location_id",
@@ -21,7 +22,7 @@ EFFECTIVE = (
 
 
 def with_effective(cells: DataFrame, branches: DataFrame, storage_area: str) -> DataFrame:
-    """Cells with the capacity that counts; cells that count nowhere are left out.
+    """Located cells with the capacity that counts; cells that count nowhere are left out.
 
     Storage branches count their physical capacity, flagged locations their planned one,
     the others their physical one.  A planned capacity without a physical cell counts at
@@ -78,26 +79,56 @@ def metrics_location_category(
     )
 
 
-def metrics_location(locations: DataFrame, branches: DataFrame, effective: DataFrame) -> DataFrame:
+def place_sums(cells: DataFrame, loc_map: DataFrame) -> DataFrame:
+    """Capacities per location id, planned ones split by whether a physical cell exists."""
+    physical, planned = F.col("capacity_physical"), F.col("capacity_realloc")
+    shared = F.col("has_physical")
+    sums = cells.groupBy("branch_id", "code_norm").agg(
+        F.sum(physical).alias("_physical"),
+        F.sum(F.when(shared, planned)).alias("_planned_shared"),
+        F.sum(F.when(~shared, planned)).alias("_planned_alone"),
+    )
+    located = sums.join(loc_map, ["branch_id", "code_norm"]).where("location_id is not null")
+    return located.drop("branch_id", "code_norm")
+
+
+def _either(a: Column, b: Column) -> Column:
+    """Sum in which a null counts as nothing, unless both are null."""
+    return F.coalesce(a + b, a, b)
+
+
+def metrics_location(
+    locations: DataFrame,
+    branches: DataFrame,
+    cells: DataFrame,
+    config: ModelConfig = ModelConfig(),
+) -> DataFrame:
     """Capacities summed per location; a location without any has nulls.
 
-    Sums are formed before the join, and the grouping after it runs on the join's own
-    partitioning.  It only matters for locations listed twice with the same attributes.
+    The rules for the capacity that counts are the same for all cells of a location, so
+    cells are summed first and the rules applied to the sums.  The grouping at the end runs
+    on the partitioning of the join before it; it only changes anything for locations listed
+    twice with the same attributes.
     """
-    sums = effective.where("location_id is not null").groupBy("location_id").agg(
-        F.sum("capacity_effective").alias("capacity_total"),
-        F.sum("capacity_physical").alias("capacity_physical_sum"),
-        F.sum("capacity_realloc").alias("capacity_realloc_sum"),
-    )
+    sums = place_sums(cells, location_map(locations))
     joined = locations.join(sums, "location_id", "left").join(
         branches.select("branch_id", "area"), "branch_id", "left"
     )
+    physical, flagged = F.col("_physical"), F.col("is_realloc")
+    planned = _either(F.col("_planned_shared"), F.col("_planned_alone"))
+    stored = F.when(flagged, _either(physical, F.col("_planned_alone"))).otherwise(physical)
+    effective = (
+        F.when(F.col("area") == config.storage_area, stored)
+        .when(flagged, planned)
+        .otherwise(physical)
+    )
+    counted = F.when(flagged, planned).otherwise(F.col("_planned_shared"))
     return joined.groupBy(
         "location_id", "code", "branch_name", "branch_id", "area", "is_realloc", "stock_total"
     ).agg(
-        F.sum("capacity_total").alias("capacity_total"),
-        F.sum("capacity_physical_sum").alias("capacity_physical_sum"),
-        F.sum("capacity_realloc_sum").alias("capacity_realloc_sum"),
+        F.sum(effective).alias("capacity_total"),
+        F.sum(physical).alias("capacity_physical_sum"),
+        F.sum(counted).alias("capacity_realloc_sum"),
     )
 
 

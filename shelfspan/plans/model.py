@@ -35,8 +35,8 @@ class ModelInputs:
 class Model:
     """Tables of the model, each a lazy plan over the inputs.
 
-    Locations, cells and location metrics feed most of the others.  ``materialized`` cuts
-    the lineage behind them, so that they are worked out once for any number of results.
+    Locations, cells and location metrics feed most of the others.  ``materialize`` cuts the
+    lineage behind them, so that they are worked out once for any number of results.
     """
 
     inputs: ModelInputs
@@ -56,53 +56,64 @@ class Model:
         return self._keep(flagged.select(*schema.names(schema.LOCATIONS)))
 
     @cached_property
-    def location_map(self) -> DataFrame:
+    def location_ids(self) -> DataFrame:
+        """Which location stands for a branch and code."""
         return flags.location_map(self.locations)
 
     @cached_property
     def cells(self) -> DataFrame:
         return self._keep(
             facts.capacity_cells(
-                self.inputs.physical, self.inputs.realloc, self.locations, self.config.all_null_sum
+                self.inputs.physical, self.inputs.realloc, self.config.all_null_sum
             )
         )
 
     @cached_property
     def fact_physical(self) -> DataFrame:
-        return facts.physical_part(self.cells)
+        cells = flags.attach_location_id(self.cells, self.location_ids)
+        return facts.physical_part(cells)
 
     @cached_property
     def fact_realloc(self) -> DataFrame:
-        return facts.realloc_part(self.cells)
+        cells = flags.attach_location_id(self.cells, self.location_ids)
+        return facts.realloc_part(cells)
 
     @cached_property
     def fact_stock(self) -> DataFrame:
-        return facts.fact_stock(self.locations, self.cells)
+        dated = flags.location_map(self.locations, ["as_of"])
+        return facts.fact_stock(self.locations, flags.attach_location_id(self.cells, dated))
 
     @cached_property
     def lookup_physical(self) -> DataFrame:
-        return facts.lookup_physical(self.inputs.physical, self.location_map)
+        return facts.lookup_physical(self.inputs.physical, self.location_ids)
 
     @cached_property
     def lookup_realloc(self) -> DataFrame:
-        return facts.lookup_realloc(self.inputs.realloc, self.location_map)
+        return facts.lookup_realloc(self.inputs.realloc, self.location_ids)
+
+    @cached_property
+    def _flagged_cells(self) -> DataFrame:
+        flagged = flags.location_map(self.locations, ["is_realloc"])
+        return flags.attach_location_id(self.cells, flagged)
 
     @cached_property
     def effective_capacity(self) -> DataFrame:
-        return metrics.effective_capacity(self.cells, self.branches, self.config)
+        return metrics.effective_capacity(self._flagged_cells, self.branches, self.config)
 
     @cached_property
     def effective_capacity_full(self) -> DataFrame:
-        return metrics.effective_capacity_full(self.cells, self.branches, self.config)
+        return metrics.effective_capacity_full(self._flagged_cells, self.branches, self.config)
 
     @cached_property
     def metrics_location_category(self) -> DataFrame:
-        return metrics.metrics_location_category(self.cells, self.branches, self.config)
+        named = flags.location_map(self.locations, ["code", "branch_name", "is_realloc"])
+        cells = flags.attach_location_id(self.cells, named)
+        return metrics.metrics_location_category(cells, self.branches, self.config)
 
     @cached_property
     def metrics_location(self) -> DataFrame:
         return self._keep(
-            metrics.metrics_location(self.locations, self.branches, self.effective_capacity_full)
+            metrics.metrics_location(self.locations, self.branches, self.cells, self.config)
         )
 
     @cached_property
