@@ -149,13 +149,15 @@ WAREHOUSE_WORD = "sklady"
 EXPORT_BANNERS = ("Records", "Affected", "eSQL")
 EXPORT_NULL_WORDS = ("<null>", "null")
 
-# --- fixed values: encodings, tried in this order --------------------------------------
-TEXT_ENCODINGS = ("utf-8", "cp1250", "latin-1")
+# --- fixed values: words that stand for a missing value in CSV files ---------------------
+MISSING_WORDS = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+)
 
 # --- fixed values: words and labels shown to readers -----------------------------------
 BLANK_OPTION = "(prázdné)"
 YES, NO, UNKNOWN = "Ano", "Ne", "—"
-FLAG_ALL = "Vše"
 LOCATION_LABELS = {
     "code": "LOKACE_SHORT",
     "branch_name": "Pobočka",
@@ -194,4 +196,3 @@ SERIES_LABELS = {
     "stock": "Skutečný stav",
     "capacity_realloc": "Aktuální kapacitní plán",
 }
-SHARE_LABELS = {True: "Realokace", False: "Ostatní lokace"}

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from shelfspan.config import ModelConfig
 from shelfspan.functions.numeric import guarded_pct, guarded_ratio
-from shelfspan.operators.flags import location_map
 
 EFFECTIVE = (
     "location_id",
@@ -79,17 +78,15 @@ def metrics_location_category(
     )
 
 
-def place_sums(cells: DataFrame, loc_map: DataFrame) -> DataFrame:
+def location_sums(cells: DataFrame) -> DataFrame:
     """Capacities per location id, planned ones split by whether a physical cell exists."""
     physical, planned = F.col("capacity_physical"), F.col("capacity_realloc")
     shared = F.col("has_physical")
-    sums = cells.groupBy("branch_id", "code_norm").agg(
+    return cells.where("location_id is not null").groupBy("location_id").agg(
         F.sum(physical).alias("_physical"),
         F.sum(F.when(shared, planned)).alias("_planned_shared"),
         F.sum(F.when(~shared, planned)).alias("_planned_alone"),
     )
-    located = sums.join(loc_map, ["branch_id", "code_norm"]).where("location_id is not null")
-    return located.drop("branch_id", "code_norm")
 
 
 def _either(a: Column, b: Column) -> Column:
@@ -106,12 +103,11 @@ def metrics_location(
     """Capacities summed per location; a location without any has nulls.
 
     The rules for the capacity that counts are the same for all cells of a location, so
-    cells are summed first and the rules applied to the sums.  The grouping at the end runs
-    on the partitioning of the join before it; it only changes anything for locations listed
-    twice with the same attributes.
+    cells, which need the location id only, are summed first and the rules applied to the
+    sums.  The grouping at the end runs on the partitioning of the join before it; it only
+    changes anything for locations listed twice with the same attributes.
     """
-    sums = place_sums(cells, location_map(locations))
-    joined = locations.join(sums, "location_id", "left").join(
+    joined = locations.join(location_sums(cells), "location_id", "left").join(
         branches.select("branch_id", "area"), "branch_id", "left"
     )
     physical, flagged = F.col("_physical"), F.col("is_realloc")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -17,6 +18,9 @@ from shelfspan.sources import text as txt
 from shelfspan.sources.listing import SourceSet
 
 
+_CELL_ATTRIBUTES = ("code", "branch_name", "is_realloc", "as_of")
+
+
 @dataclass(frozen=True)
 class ModelInputs:
     """Conformed source rows, the same whichever files they came from."""
@@ -61,27 +65,36 @@ class Model:
         return flags.location_map(self.locations)
 
     @cached_property
-    def cells(self) -> DataFrame:
-        return self._keep(
-            facts.capacity_cells(
-                self.inputs.physical, self.inputs.realloc, self.config.all_null_sum
-            )
+    def _all_cells(self) -> DataFrame:
+        """Cells with every attribute of their location that some table asks for."""
+        return self._keep(self._located(_CELL_ATTRIBUTES))
+
+    def _located(self, attributes: Sequence[str]) -> DataFrame:
+        cells = facts.capacity_cells(
+            self.inputs.physical, self.inputs.realloc, self.config.all_null_sum
         )
+        named = flags.location_map(self.locations, attributes)
+        return flags.attach_location_id(cells, named)
+
+    def cells(self, *attributes: str) -> DataFrame:
+        """Both capacities per branch, code and category, with the location they belong to.
+
+        A lazy plan only looks up the attributes asked for; a materialized model looks up
+        all of them once.
+        """
+        return self._all_cells if self.materialize else self._located(attributes)
 
     @cached_property
     def fact_physical(self) -> DataFrame:
-        cells = flags.attach_location_id(self.cells, self.location_ids)
-        return facts.physical_part(cells)
+        return facts.physical_part(self.cells())
 
     @cached_property
     def fact_realloc(self) -> DataFrame:
-        cells = flags.attach_location_id(self.cells, self.location_ids)
-        return facts.realloc_part(cells)
+        return facts.realloc_part(self.cells())
 
     @cached_property
     def fact_stock(self) -> DataFrame:
-        dated = flags.location_map(self.locations, ["as_of"])
-        return facts.fact_stock(self.locations, flags.attach_location_id(self.cells, dated))
+        return facts.fact_stock(self.locations, self.cells("as_of"))
 
     @cached_property
     def lookup_physical(self) -> DataFrame:
@@ -91,29 +104,29 @@ class Model:
     def lookup_realloc(self) -> DataFrame:
         return facts.lookup_realloc(self.inputs.realloc, self.location_ids)
 
-    @cached_property
-    def _flagged_cells(self) -> DataFrame:
-        flagged = flags.location_map(self.locations, ["is_realloc"])
-        return flags.attach_location_id(self.cells, flagged)
-
     @cached_property
     def effective_capacity(self) -> DataFrame:
-        return metrics.effective_capacity(self._flagged_cells, self.branches, self.config)
+        cells = self.cells("is_realloc")
+        return metrics.effective_capacity(cells, self.branches, self.config)
 
     @cached_property
     def effective_capacity_full(self) -> DataFrame:
-        return metrics.effective_capacity_full(self._flagged_cells, self.branches, self.config)
+        cells = self.cells("is_realloc")
+        return metrics.effective_capacity_full(cells, self.branches, self.config)
 
     @cached_property
     def metrics_location_category(self) -> DataFrame:
-        named = flags.location_map(self.locations, ["code", "branch_name", "is_realloc"])
-        cells = flags.attach_location_id(self.cells, named)
+        cells = self.cells("code", "branch_name", "is_realloc")
         return metrics.metrics_location_category(cells, self.branches, self.config)
 
     @cached_property
     def metrics_location(self) -> DataFrame:
+        # Only the id of a location is taken along; its flag is looked at where it is joined.
+        cells = self.cells().select(
+            "location_id", "has_physical", "capacity_physical", "capacity_realloc"
+        )
         return self._keep(
-            metrics.metrics_location(self.locations, self.branches, self.cells, self.config)
+            metrics.metrics_location(self.locations, self.branches, cells, self.config)
         )
 
     @cached_property

@@ -46,7 +46,7 @@ def list_entries(spark: SparkSession, root: str) -> DataFrame:
     # The last folder of the root marks where an entry's name begins.
     base = root.rstrip("/").rsplit("/", 1)[-1]
     below = F.element_at(F.split("path", "/" + _quote(base) + "/", 2), -1)
-    entry = F.split_part(F.url_decode(F.replace(below, F.lit("+"), F.lit("%2B"))), F.lit("/"), F.lit(1))
+    entry = F.split_part(below, F.lit("/"), F.lit(1))
     return list_files(spark, root).select(entry.alias("entry")).distinct()
 
 
@@ -87,7 +87,7 @@ def resolve_sources(
 
     A complete set of Parquet files in the root folder wins over the CSV files in the raw
     folder (``<root>/data_raw`` unless given).  Without it, capacity comes from the path
-    given, else from the main or the spare folder of parts, else from the capacity CSV.
+    given, if there is anything, else from the main or the spare folder of parts, else from the capacity CSV.
     """
     root = root.rstrip("/")
     raw = (raw or f"{root}/data_raw").rstrip("/")
@@ -111,6 +111,8 @@ def resolve_sources(
     maps = {"area_map": first(fv.AREA_MAP_FILE), "code_map": first(fv.CODE_MAP_FILE)}
     if all(role in found for role in REQUIRED):
         return SourceSet("parquet", _present({**found, **maps}))
+    if capacity is not None and list_files(spark, capacity).isEmpty():
+        capacity = None
     texts = {
         "stock": first(fv.STOCK_EXPORT_FILE, *fv.STOCK_FALLBACK_FILES),
         "realloc": first(fv.REALLOC_FILE),

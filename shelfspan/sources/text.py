@@ -44,19 +44,17 @@ def _upper_half(encoding: str) -> tuple[str, str]:
     return "".join(a for a, _ in changed), "".join(b for _, b in changed)
 
 
-def _clean_header(name: str) -> str:
-    return name.replace("﻿", "")
-
-
 def read_csv(
     spark: SparkSession, path: str | Sequence[str], sep: str, encoding: str = "utf-8"
 ) -> DataFrame:
     """CSV with header, every column text, with each row's place in its file.
 
-    Single-byte encodings are read as latin-1 and mapped character by character.
+    Words that mean a missing value become null.  Single-byte encodings are read as latin-1
+    and mapped character by character.
     """
     single = encoding != "utf-8"
-    reader = spark.read.option("header", True).option("sep", sep).option("inferSchema", False)
+    # Every column is text; a quote inside a quoted value is written twice.
+    reader = spark.read.options(header=True, sep=sep, quote='"', escape='"')
     raw = reader.option("encoding", "ISO-8859-1" if single else "UTF-8").csv(path)
     # Rows of a file are numbered by the split they are in and their place in the split.
     place = F.col("_metadata.file_block_start") * F.lit(1 << 6) + F.pmod(
@@ -66,12 +64,14 @@ def read_csv(
     located = raw.select(
         "*", F.col("_metadata.file_name").alias("src_file"), place.alias("src_row")
     )
-    if encoding == "cp1250":
-        old, new = _upper_half(encoding)
-        table = str.maketrans(old, new)
-        text = [F.translate(F.col(f"`{c}`"), old, new).alias(c.translate(table)) for c in data]
-        located = located.select(*text, "src_file", "src_row")
-    return located.toDF(*[_clean_header(c) for c in located.columns])
+    old, new = _upper_half(encoding) if encoding == "cp1250" else ("", "")
+    table = str.maketrans(old, new)
+    values = []
+    for c in data:
+        value = F.translate(F.col(f"`{c}`"), old, new) if old else F.col(f"`{c}`")
+        known = F.when(~F.col(f"`{c}`").isin(*fv.MISSING_WORDS), value)
+        values.append(known.alias(c.translate(table).replace("\ufeff", "")))
+    return located.select(*values, "src_file", "src_row")
 
 
 def sniff_delimiter(spark: SparkSession, path: str) -> str:
