@@ -8,6 +8,7 @@ decimals, so that sums do not depend on the order they are formed in.
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,7 @@ class Tables:
     folder: str
 
     _read: dict[str, DataFrame] = field(default_factory=dict)
+    _models: dict[bool, Model] = field(default_factory=dict)
 
     def table(self, name: str) -> DataFrame:
         """A table, its schema looked up once."""
@@ -229,8 +231,16 @@ class Tables:
         return replace(plain, physical=named)
 
     def model(self, shelf: bool = False) -> Model:
-        """The model over these tables, as one lazy plan."""
-        return Model(self.inputs(shelf), CONFIG)
+        """The model over these tables, as lazy plans."""
+        if shelf not in self._models:
+            self._models[shelf] = Model(self.inputs(shelf), CONFIG)
+        return self._models[shelf]
+
+
+@lru_cache(maxsize=16)
+def tables(spark: SparkSession, folder: str) -> Tables:
+    """The tables of a folder; schemas are looked up and plans put together once."""
+    return Tables(spark, folder)
 
 
 def category() -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfspan.config import FilterSpec
-from shelfspan.drivertables.mapping import CONFIG, Tables
+from shelfspan.drivertables.mapping import CONFIG, Tables, tables
 from shelfspan.fixed_values import BLANK_OPTION, CAPACITY_ALIASES
 from shelfspan.functions.text import code_key
 from shelfspan.operators import areas, conform, flags, keys, ordered
@@ -44,7 +44,7 @@ def plain(df: DataFrame) -> DataFrame:
 
 
 def bind(fn: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, folder: plain(fn(Tables(spark, folder)))
+    return lambda spark, folder: plain(fn(tables(spark, folder)))
 
 
 # --- facts and metrics ------------------------------------------------------------------

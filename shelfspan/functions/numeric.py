@@ -10,6 +10,16 @@ from shelfspan.functions.text import strip
 
 # A plain or scientific decimal number; words and type suffixes are not numbers.
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+WHOLE = r"^[+-]?\d+$"
+
+
+def whole_number(text: Column) -> Column:
+    """Digits as long, anything else null.
+
+    Looking at the digits first keeps failing casts, each of which costs an exception, to
+    the numbers that are too large.
+    """
+    return F.when(text.rlike(WHOLE), text.try_cast("bigint"))
 
 
 def safe_double(c: Column, dtype: T.DataType = T.StringType()) -> Column:
@@ -28,10 +38,10 @@ def safe_long(c: Column, dtype: T.DataType = T.StringType()) -> Column:
     if isinstance(dtype, T.IntegralType):
         return c.cast("bigint")
     d = safe_double(c, dtype)
-    whole = F.when(d == F.floor(d), d.try_cast("bigint"))
+    whole = F.when((d == F.floor(d)) & (F.abs(d) < 2.0**63), d.cast("bigint"))
     if isinstance(dtype, T.NumericType):
         return whole
-    return F.coalesce(strip(c.cast("string")).try_cast("bigint"), whole)
+    return F.coalesce(whole_number(strip(c.cast("string"))), whole)
 
 
 def total(c: Column, all_null_sum: str = "null") -> Column:

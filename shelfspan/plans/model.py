@@ -150,17 +150,12 @@ class Model:
         return metrics.metrics_grouping_sets(self.metrics_location_enriched)
 
     def checks(self) -> dict[str, DataFrame]:
-        """The data-quality checks that reduce to counts, one row each."""
+        """The data-quality checks one by one."""
         rows, loc, full = self.inputs, self.locations, self.effective_capacity_full
-        found = {"source_overlap": quality.source_overlap(rows.stock, rows.realloc)}
-        if rows.warehouse is not None and rows.physical_main is not None:
-            found["warehouse_merge"] = quality.warehouse_merge(rows.physical_main, rows.warehouse)
-        conflicts = quality.area_conflicts(rows.physical)
-        differing = quality.plan_diff(full, self.config.plan_tolerance)
-        canon = (self.config.canonical_areas, self.config.unassigned_area)
-        return found | {
-            "area_conflicts": conflicts.agg(F.count("*").alias("branches")),
-            "unknown_areas": quality.unknown_areas(self.branches, *canon),
+        found = {
+            "source_overlap": quality.source_overlap(rows.stock, rows.realloc),
+            "area_conflicts": quality.area_conflicts(rows.physical),
+            "unknown_areas": self._unknown_areas,
             "duplicate_ids": quality.duplicate_ids(loc),
             "duplicate_keys": quality.duplicate_keys(loc),
             "no_physical": quality.no_physical(loc, self.fact_physical),
@@ -168,13 +163,40 @@ class Model:
             "no_effective": quality.no_effective(loc, full),
             "zero_stock": quality.zero_stock(loc),
             "coverage": quality.coverage(loc, full),
-            "plan_diff": differing.agg(F.count("*").alias("locations")),
+            "plan_diff": quality.plan_diff(full, self.config.plan_tolerance),
             "no_branch": quality.no_branch(loc),
         }
+        if rows.warehouse is not None and rows.physical_main is not None:
+            found["warehouse_merge"] = quality.warehouse_merge(rows.physical_main, rows.warehouse)
+        return found
+
+    @property
+    def _unknown_areas(self) -> DataFrame:
+        config = self.config
+        return quality.unknown_areas(
+            self.branches, config.canonical_areas, config.unassigned_area
+        )
 
     @cached_property
     def dq_report(self) -> DataFrame:
-        return quality.report(self.checks())
+        """The counts of all checks, worked out together where they share a key."""
+        rows = self.inputs
+        counted = metrics.with_effective(
+            self.cells("is_realloc"), self.branches, self.config.storage_area
+        )
+        conflicts = quality.area_conflicts(rows.physical)
+        audits = [
+            quality.key_audit(rows.stock, rows.realloc, rows.physical),
+            quality.location_audit(self.locations, counted, self.config.plan_tolerance),
+            conflicts.agg(F.count("*").alias("area_conflicts__branches")),
+            self._unknown_areas.select(
+                F.col("unknown_areas").alias("unknown_areas__unknown_areas")
+            ),
+        ]
+        if rows.warehouse is not None and rows.physical_main is not None:
+            merged = quality.warehouse_merge(rows.physical_main, rows.warehouse)
+            audits.append(merged.toDF(*[f"warehouse_merge__{c}" for c in merged.columns]))
+        return quality.report(audits)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

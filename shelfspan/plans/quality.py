@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -132,18 +133,81 @@ def no_branch(locations: DataFrame) -> DataFrame:
     return locations.agg(_count(F.col("branch_id").isNull()).alias("locations"))
 
 
-def _lines(check: str, df: DataFrame) -> DataFrame:
-    """A one-row check as lines of the report, one per measure."""
-    measures = [c for c, t in df.dtypes if t == "bigint"]
-    return df.select([F.col(m).cast("bigint").alias(m) for m in measures]).unpivot(
-        [], measures, "measure", "value"
-    ).select(F.lit(check).alias("check"), "measure", "value")
+def location_audit(locations: DataFrame, counted: DataFrame, tolerance: float = 0.01) -> DataFrame:
+    """All checks keyed by location id, from one aggregation.
+
+    ``counted`` are the cells with their effective capacity.
+    """
+    listed = locations.select(
+        "location_id",
+        F.lit(True).alias("_listed"),
+        (F.coalesce("stock_total", F.lit(0)) == 0).alias("_zero"),
+        F.col("branch_id").isNull().alias("_nowhere"),
+    )
+    cells = counted.where("location_id is not null").select(
+        "location_id", "has_physical", "is_realloc", "capacity_physical", "capacity_realloc",
+        "capacity_effective",
+    )
+    physical, planned = F.col("capacity_physical"), F.col("capacity_realloc")
+    compared = F.col("is_realloc") & physical.isNotNull() & planned.isNotNull()
+    per_location = listed.unionByName(cells, allowMissingColumns=True).groupBy("location_id").agg(
+        F.count("_listed").alias("rows"),
+        F.count_if("_zero").alias("zero"),
+        F.count_if("_nowhere").alias("nowhere"),
+        F.count_if("has_physical").alias("physical"),
+        F.count("has_physical").alias("cells"),
+        F.count("capacity_effective").alias("effective"),
+        F.sum(F.when(compared, physical)).alias("_physical"),
+        F.sum(F.when(compared, planned)).alias("_planned"),
+    )
+    rows, known = F.col("rows"), F.col("location_id").isNotNull()
+
+    def add(n, condition) -> Column:
+        return F.coalesce(F.sum(F.when(condition, n)), F.lit(0))
+
+    return per_location.agg(
+        add(rows, rows > 1).alias("duplicate_ids__rows"),
+        _count((rows > 0) & known & (F.col("physical") == 0)).alias("no_physical__locations"),
+        add(rows, F.col("cells") == 0).alias("no_effective__locations"),
+        F.coalesce(F.sum("zero"), F.lit(0)).alias("zero_stock__locations"),
+        F.coalesce(F.sum(rows), F.lit(0)).alias("coverage__locations"),
+        _count(F.col("effective") > 0).alias("coverage__covered_locations"),
+        _count(F.abs(F.col("_physical") - F.col("_planned")) > tolerance).alias(
+            "plan_diff__locations"
+        ),
+        F.coalesce(F.sum("nowhere"), F.lit(0)).alias("no_branch__locations"),
+    )
 
 
-def report(checks: dict[str, DataFrame]) -> DataFrame:
-    """All checks as ``check, measure, value``."""
-    lines = [_lines(name, df) for name, df in checks.items()]
-    out = lines[0]
-    for more in lines[1:]:
-        out = out.unionByName(more)
-    return out
+def key_audit(stock: DataFrame, realloc: DataFrame, capacity: DataFrame) -> DataFrame:
+    """All checks keyed by branch and code, from one aggregation."""
+    sides = {"listed": stock, "planned": realloc, "capacity": capacity}
+    stacked = None
+    for side, df in sides.items():
+        part = df.select(*LOCATION_KEY, F.lit(True).alias(side))
+        stacked = part if stacked is None else stacked.unionByName(part, allowMissingColumns=True)
+    keys = stacked.groupBy(*LOCATION_KEY).agg(*[F.count(side).alias(side) for side in sides])
+    named = F.col("branch_id").isNotNull() & (F.col("code_norm") != "")
+    a, b = named & (F.col("listed") > 0), named & (F.col("planned") > 0)
+    listed = F.col("listed")
+    return keys.agg(
+        _count(a).alias("source_overlap__stock_keys"),
+        _count(b).alias("source_overlap__realloc_keys"),
+        _count(a & b).alias("source_overlap__shared"),
+        _count(a & ~b).alias("source_overlap__only_stock"),
+        _count(b & ~a).alias("source_overlap__only_realloc"),
+        F.coalesce(F.sum(F.when(listed > 1, listed)), F.lit(0)).alias("duplicate_keys__rows"),
+        _count((F.col("capacity") > 0) & (listed == 0)).alias("orphan_capacity__keys"),
+    )
+
+
+def report(audits: Sequence[DataFrame]) -> DataFrame:
+    """One-row audits as ``check, measure, value``; columns are named ``check__measure``."""
+    lines = []
+    for df in audits:
+        long = df.select([F.col(c).cast("bigint").alias(c) for c in df.columns])
+        lines.append(long.unpivot([], long.columns, "_line", "value"))
+    name = F.split("_line", "__")
+    return reduce(DataFrame.unionByName, lines).select(
+        name[0].alias("check"), name[1].alias("measure"), "value"
+    )

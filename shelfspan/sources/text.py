@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspan import fixed_values as fv
-from shelfspan.functions.numeric import safe_long
+from shelfspan.functions.numeric import safe_long, whole_number
 from shelfspan.functions.text import null_words_to_null, strip
 from shelfspan.operators.conform import canonicalize, conform_part, normalize_columns
 from shelfspan.operators.keys import conform_code_map
@@ -190,10 +190,10 @@ def parse_stock_lines(lines: DataFrame, line: str = "value") -> DataFrame:
     def at(i: int) -> Column:
         return F.get("_part", F.lit(i))
 
-    count = F.replace(at(4), F.lit(" "), F.lit("")).try_cast("bigint")
+    count = whole_number(F.replace(at(4), F.lit(" "), F.lit("")))
     records = found.where(F.size("_part") >= 6).select(
-        at(0).try_cast("bigint").alias("location_id"),
-        null_words_to_null(at(1)).try_cast("bigint").alias("branch_id"),
+        whole_number(at(0)).alias("location_id"),
+        whole_number(null_words_to_null(at(1))).alias("branch_id"),
         F.coalesce(null_words_to_null(at(2)), F.lit("")).alias("branch_name"),
         at(3).alias("code"),
         F.coalesce(count, F.lit(0)).cast("bigint").alias("stock_total"),
@@ -206,7 +206,7 @@ def parse_stock_lines(lines: DataFrame, line: str = "value") -> DataFrame:
 def rejected_lines(lines: DataFrame, line: str = "value") -> DataFrame:
     """Lines that start like a record but do not have the fields of one."""
     parts = F.split(F.col(line), ",")
-    short = (F.size(parts) < 6) | strip(F.get(parts, F.lit(0))).try_cast("bigint").isNull()
+    short = (F.size(parts) < 6) | whole_number(strip(F.get(parts, F.lit(0)))).isNull()
     return lines.where(is_data_line(F.col(line)) & short)
 
 
