@@ -220,8 +220,8 @@ def branch_from_catalogue(t: Tables) -> DataFrame:
     rows = suppliers.join(nations, "branch_id", "left").select(
         "s_suppkey", known.alias("branch_id"), messy.alias("branch_name")
     )
-    catalogue = t.named_places().withColumn("branch_name", F.lower("branch_name"))
-    return keys.fill_branch_from_catalogue(rows, catalogue, ["location_id"])
+    stock = t.named_places().withColumn("branch_name", F.lower("branch_name"))
+    return keys.fill_branch_from_catalogue(rows, keys.name_catalogue(stock, ["location_id"]))
 
 
 @query

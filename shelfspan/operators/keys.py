@@ -135,18 +135,22 @@ def clean_warehouse(df: DataFrame) -> DataFrame:
     return df.where((F.col("code_norm") != "") & (F.coalesce("capacity_physical", F.lit(0)) != 0))
 
 
-def fill_branch_from_catalogue(
-    df: DataFrame, catalogue: DataFrame, order: Sequence[str]
-) -> DataFrame:
-    """Fill a missing branch number by the branch name, first match in the catalogue."""
-    names = catalogue.where("branch_id is not null").select(
-        name_key(F.col("branch_name")).alias("_name"), F.col("branch_id").alias("_found"), *order
+def name_catalogue(stock: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Branch number by matching key of the name, the first in order where names repeat."""
+    names = stock.where("branch_id is not null").select(
+        name_key(F.col("branch_name")).alias("name_key"), "branch_id", *order
     )
-    first = dedupe(names.where("_name is not null"), ["_name"], order).select("_name", "_found")
+    known = names.where("name_key is not null")
+    return dedupe(known, ["name_key"], order).select("name_key", "branch_id")
+
+
+def fill_branch_from_catalogue(df: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """Fill a missing branch number by the branch name."""
+    names = catalogue.withColumnRenamed("branch_id", "_found")
     # Rows that have their number, or no name, get keys that match nothing but spread well.
     nothing = F.concat(F.lit("\0"), F.pmod(F.xxhash64(*df.columns), F.lit(4096)))
     wanted = F.when(F.col("branch_id").isNull(), name_key(F.col("branch_name")))
-    hit = df.withColumn("_name", F.coalesce(wanted, nothing)).join(first, "_name", "left")
+    hit = df.withColumn("name_key", F.coalesce(wanted, nothing)).join(names, "name_key", "left")
     return hit.select(
         *[F.coalesce("branch_id", "_found").alias(c) if c == "branch_id" else c for c in df.columns]
     )

@@ -260,7 +260,8 @@ def _csv_inputs(spark: SparkSession, sources: SourceSet, config: ModelConfig) ->
         # Inside a part, which is one branch, rows without a number take that of the others.
         parts = conform.conform_capacity(txt.read_parts(spark, path))
         rows = ordered.fill_within_group(parts, ["branch_name"], "branch_id", conform.ORDER)
-    rows = keys.fill_branch_from_catalogue(rows, stock, conform.ORDER)
+    names = keys.broadcast_if_small(keys.name_catalogue(stock, conform.ORDER), small)
+    rows = keys.fill_branch_from_catalogue(rows, names)
     rows = conform.require(rows, "branch_id")
     code_map = keys.broadcast_if_small(txt.read_code_map(spark, sources.get("code_map")), small)
     physical = keys.apply_code_map(rows, code_map).drop(*conform.ORDER)

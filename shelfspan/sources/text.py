@@ -18,20 +18,49 @@ from shelfspan.schema import AREA_MAP, CODE_MAP, empty
 DELIMITERS = (",", ";", "\t", "|")
 
 
-def detect_encoding(spark: SparkSession, path: str) -> str:
-    """The first of the known encodings that all lines of the file can be decoded with.
+def _place() -> Column:
+    """Rows of a file in order: by the split they are in and their number inside the split.
 
-    Lines are tested as raw bytes where they are read, so a file of any size is looked
-    through in parallel.
+    A split starts at least as many bytes after the one before as it has rows, so its start,
+    taken 64 times, keeps the splits apart.
+    """
+    row = F.pmod(F.monotonically_increasing_id(), F.lit(1 << 33))
+    return F.col("_metadata.file_block_start") * F.lit(64) + row
+
+
+def _file_name() -> Column:
+    """Name of the file a row comes from, as it is spelled in the folder."""
+    return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+
+
+def survey(spark: SparkSession, paths: Sequence[str]) -> dict[str, tuple[str, str]]:
+    """Encoding and header, as hex, of each file by name.
+
+    The encoding is the first of utf-8, cp1250 and latin-1 that all lines can be decoded
+    with.  Lines are looked at as raw bytes where they are read, all files in one job.
     """
-    lines = spark.read.text(path)
-    broken = ~F.is_valid_utf8("value")
-    if lines.where(broken).isEmpty():
-        return "utf-8"
     # Bytes without a meaning in cp1250, told by asking the codec itself.
     gaps = [f"{b:02X}" for b in range(256) if not bytes([b]).decode("cp1250", "ignore")]
-    gap = F.hex(F.col("value").cast("binary")).rlike(f"^(..)*({'|'.join(gaps)})")
-    return "cp1250" if lines.where(gap).isEmpty() else "latin-1"
+    raw = F.hex(F.col("value").cast("binary"))
+    broken = ~F.is_valid_utf8("value")
+    lines = spark.read.text(list(paths)).select(
+        _file_name().alias("file"), "value", _place().alias("place")
+    )
+    found = lines.groupBy("file").agg(
+        F.bool_or(broken).alias("broken"),
+        F.bool_or(broken & raw.rlike(f"^(..)*({'|'.join(gaps)})")).alias("gap"),
+        F.hex(F.min_by("value", "place").cast("binary")).alias("header"),
+    )
+    # One row per file.
+    return {
+        r.file: ("utf-8" if not r.broken else "latin-1" if r.gap else "cp1250", r.header)
+        for r in found.collect()
+    }
+
+
+def detect_encoding(spark: SparkSession, path: str) -> str:
+    """Encoding of one file; an empty one is utf-8."""
+    return next((encoding for encoding, _ in survey(spark, [path]).values()), "utf-8")
 
 
 def _upper_half(encoding: str) -> tuple[str, str]:
@@ -56,14 +85,8 @@ def read_csv(
     # Every column is text; a quote inside a quoted value is written twice.
     reader = spark.read.options(header=True, sep=sep, quote='"', escape='"')
     raw = reader.option("encoding", "ISO-8859-1" if single else "UTF-8").csv(path)
-    # Rows of a file are numbered by the split they are in and their place in the split.
-    place = F.col("_metadata.file_block_start") * F.lit(1 << 6) + F.pmod(
-        F.monotonically_increasing_id(), F.lit(1 << 33)
-    )
     data = raw.columns
-    located = raw.select(
-        "*", F.col("_metadata.file_name").alias("src_file"), place.alias("src_row")
-    )
+    located = raw.select("*", _file_name().alias("src_file"), _place().alias("src_row"))
     old, new = _upper_half(encoding) if encoding == "cp1250" else ("", "")
     table = str.maketrans(old, new)
     values = []
@@ -103,28 +126,23 @@ def read_parts(spark: SparkSession, path: str) -> DataFrame:
     parquet = [r.path for r in names.where("low like '%.parquet'").orderBy("path").collect()]
     if not csv and not parquet:
         raise FileNotFoundError(f"no parts in {path}")
-    groups: dict[tuple, list[str]] = {}
+    groups: dict[tuple[str, str], list[str]] = {}
+    kinds = survey(spark, csv) if csv else {}
     for part in csv:
-        encoding = detect_encoding(spark, part)
-        header = tuple(read_csv(spark, part, ";", encoding).columns)
-        groups.setdefault((encoding, header), []).append(part)
+        kind = kinds.get(part.rsplit("/", 1)[-1])
+        if kind is not None:  # an empty file has neither header nor rows
+            groups.setdefault(kind, []).append(part)
     scans = [read_csv(spark, parts, ";", encoding) for (encoding, _), parts in groups.items()]
     if parquet:
         merged = spark.read.option("mergeSchema", True).parquet(*parquet)
-        scans.append(
-            merged.select(
-                "*",
-                F.col("_metadata.file_name").alias("src_file"),
-                F.col("_metadata.row_index").alias("src_row"),
-            )
-        )
+        row = F.col("_metadata.row_index").alias("src_row")
+        scans.append(merged.select("*", _file_name().alias("src_file"), row))
     return union_parts([_part(s) for s in scans])
 
 
 def _part(scan: DataFrame) -> DataFrame:
     name = F.regexp_replace(F.col("src_file"), r"(?i)\.(csv|parquet)$", "")
-    readable = F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
-    part = conform_part(scan, strip(readable))
+    part = conform_part(scan, strip(name))
     return canonicalize(part, fv.CAPACITY_ALIASES)
 
 
@@ -212,13 +230,10 @@ def rejected_lines(lines: DataFrame, line: str = "value") -> DataFrame:
 
 def read_export_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of the export, bytes that are no UTF-8 replaced, with their place."""
-    place = F.col("_metadata.file_block_start") * F.lit(1 << 6) + F.pmod(
-        F.monotonically_increasing_id(), F.lit(1 << 33)
-    )
     return spark.read.text(path).select(
         F.make_valid_utf8("value").alias("value"),
-        F.col("_metadata.file_name").alias("src_file"),
-        place.alias("src_row"),
+        _file_name().alias("src_file"),
+        _place().alias("src_row"),
     )
 
 

@@ -168,11 +168,12 @@ def test_fill_branch_from_catalogue_takes_the_first_match(spark, rows):
         [(None, " CHODOV "), (7, "chodov"), (None, "nowhere"), (None, None)],
         "branch_id bigint, branch_name string",
     )
-    catalogue = spark.createDataFrame(
+    stock = spark.createDataFrame(
         [(2, 20, "Chodov"), (1, 10, "chodov"), (0, None, "chodov")],
         "n bigint, branch_id bigint, branch_name string",
     )
-    assert rows(keys.fill_branch_from_catalogue(df, catalogue, ["n"])) == [
+    catalogue = keys.name_catalogue(stock, ["n"])
+    assert rows(keys.fill_branch_from_catalogue(df, catalogue)) == [
         (10, " CHODOV "), (7, "chodov"), (None, "nowhere"), (None, None),
     ]
 
