@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfspan.functions.text import name_key
+from shelfspan.operators.keys import join_null_safe
 
 
 def flag_realloc(stock: DataFrame, realloc: DataFrame) -> DataFrame:
@@ -16,7 +17,7 @@ def flag_realloc(stock: DataFrame, realloc: DataFrame) -> DataFrame:
     A reallocation row names a location by code and branch number, by code alone when it
     has no number, or by code and branch name.  Each way is an equi join against distinct
     keys of its own; a single join with alternatives would compare every location with
-    every reallocation row of the same code.
+    every reallocation row of the same code.  Many locations may share a code.
     """
     marked = F.lit(True)
     coded = realloc.where("code_norm != ''")
@@ -25,12 +26,10 @@ def flag_realloc(stock: DataFrame, realloc: DataFrame) -> DataFrame:
     named = realloc.select("code_norm", name_key(F.col("branch_name")).alias("_name"))
     named = named.where("_name != ''").distinct()
 
-    found = (
-        stock.withColumn("_name", name_key(F.col("branch_name")))
-        .join(numbered.withColumn("_by_number", marked), ["code_norm", "branch_id"], "left")
-        .join(named.withColumn("_by_name", marked), ["code_norm", "_name"], "left")
-        .join(anywhere.withColumn("_by_code", marked), "code_norm", "left")
-    )
+    found = stock.withColumn("_name", name_key(F.col("branch_name")))
+    found = join_null_safe(found, numbered.withColumn("_by_number", marked), ["code_norm", "branch_id"])
+    found = join_null_safe(found, named.withColumn("_by_name", marked), ["code_norm", "_name"])
+    found = join_null_safe(found, anywhere.withColumn("_by_code", marked), ["code_norm"])
     flag = F.coalesce("_by_number", "_by_name", "_by_code", F.lit(False)).alias("is_realloc")
     return found.select(*stock.columns, flag)
 

@@ -3,8 +3,8 @@
 The plans here avoid three things that break on a key holding a large share of the rows:
 windows over an unbounded key, joins whose unique side repeats, and ``OR`` in join
 conditions.  Counting and picking go through aggregates, which shrink a hot key before it
-is shuffled; row-level joins only ever meet a side that is unique on the join key, so a hot
-partition can be split by the adaptive skew join without repeating work.
+is shuffled; row-level joins only ever meet a side that is unique on the join key, so the
+adaptive skew join can split a hot partition without repeating work.
 """
 
 from __future__ import annotations
@@ -26,8 +26,16 @@ def same_keys(keys: Sequence[str], left: str = _L, right: str = _R) -> Column:
     return reduce(Column.__and__, pairs)
 
 
-def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
-    """Join on keys where null equals null, keeping the left side's key columns."""
+def join_null_safe(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left"
+) -> DataFrame:
+    """Join on keys where null equals null, keeping the left side's key columns.
+
+    Lookups of rows that may share a key in large numbers go through here even if their
+    keys are never null.  Compared this way, the unique side is shuffled for the join itself
+    and not joined straight from the aggregate that made it unique; only then can the
+    adaptive skew join split a hot key of the left side.
+    """
     joined = left.alias(_L).join(right.alias(_R), same_keys(keys), how)
     if how in ("left_semi", "left_anti"):
         return joined
@@ -108,7 +116,7 @@ def apply_code_map(df: DataFrame, code_map: DataFrame) -> DataFrame:
     entries = code_map.select(
         "branch_id", F.col("source_norm").alias("code_norm"), F.col("target_norm").alias("_to")
     )
-    hit = df.join(entries, ["branch_id", "code_norm"], "left")
+    hit = join_null_safe(df, entries, ["branch_id", "code_norm"])
     return hit.select(
         *[
             F.coalesce("_to", c).alias(c) if c in ("code", "code_norm") else F.col(c)
@@ -150,7 +158,9 @@ def fill_branch_from_catalogue(df: DataFrame, catalogue: DataFrame) -> DataFrame
     # Rows that have their number, or no name, get keys that match nothing but spread well.
     nothing = F.concat(F.lit("\0"), F.pmod(F.xxhash64(*df.columns), F.lit(4096)))
     wanted = F.when(F.col("branch_id").isNull(), name_key(F.col("branch_name")))
-    hit = df.withColumn("name_key", F.coalesce(wanted, nothing)).join(names, "name_key", "left")
+    hit = join_null_safe(
+        df.withColumn("name_key", F.coalesce(wanted, nothing)), names, ["name_key"]
+    )
     return hit.select(
         *[F.coalesce("branch_id", "_found").alias(c) if c == "branch_id" else c for c in df.columns]
     )
@@ -159,6 +169,6 @@ def fill_branch_from_catalogue(df: DataFrame, catalogue: DataFrame) -> DataFrame
 def fill_branch_name(df: DataFrame, branches: DataFrame) -> DataFrame:
     """Fill a blank branch name by the branch number."""
     names = branches.select("branch_id", F.col("branch_name").alias("_found"))
-    hit = df.join(names, "branch_id", "left")
+    hit = join_null_safe(df, names, ["branch_id"])
     name = F.coalesce(blank_to_null(F.col("branch_name")), strip(F.col("_found")), F.lit(""))
     return hit.select(*[name.alias(c) if c == "branch_name" else c for c in df.columns])
