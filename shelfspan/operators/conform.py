@@ -119,6 +119,14 @@ def conform_stock(df: DataFrame) -> DataFrame:
     return out.withColumn("code_norm", code_key(F.col("code")))
 
 
+def unreadable(df: DataFrame, name: str) -> DataFrame:
+    """How many rows hold something that is no whole number where one is expected."""
+    dtype = df.schema[name].dataType
+    given = blank_to_null(F.col(name).cast("string")).isNotNull()
+    lost = given & safe_long(F.col(name), dtype).isNull()
+    return df.agg(F.count(F.when(lost, 1)).alias("rows"))
+
+
 def require(df: DataFrame, name: str) -> DataFrame:
     """Raise unless the column exists and holds at least one value."""
     if name not in df.columns:

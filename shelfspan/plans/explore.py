@@ -14,7 +14,10 @@ from shelfspan.functions.text import grouped_number, strip, yes_no
 
 
 def _one_of(df: DataFrame, name: str, values: Sequence[str]) -> DataFrame:
-    return df.where(F.col(name).isin(*values)) if values and name in df.columns else df
+    """Rows with one of the chosen options; the word for blank means blank."""
+    if not values or name not in df.columns:
+        return df
+    return df.where(F.col(name).isin(*["" if v == fv.BLANK_OPTION else v for v in values]))
 
 
 def filter_locations(df: DataFrame, spec: FilterSpec) -> DataFrame:
@@ -28,11 +31,6 @@ def filter_locations(df: DataFrame, spec: FilterSpec) -> DataFrame:
     return out.where(F.col("is_realloc") == F.lit(spec.is_realloc))
 
 
-def _chosen(values: Sequence[str]) -> list[str]:
-    """Selected options as they stand in the data: the word for blank means blank."""
-    return ["" if v == fv.BLANK_OPTION else v for v in values]
-
-
 def filter_source_dims(
     df: DataFrame, lookup_physical: DataFrame, lookup_realloc: DataFrame, spec: FilterSpec
 ) -> DataFrame:
@@ -53,7 +51,7 @@ def filter_source_dims(
         if not any(wanted.values()):
             continue
         for name, values in wanted.items():
-            lookup = _one_of(lookup, name, _chosen(values))
+            lookup = _one_of(lookup, name, values)
         allowed.append((kind, lookup.select("location_id", F.lit(kind).alias("is_realloc"))))
     if not allowed:
         return df.where("is_realloc is not null")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -33,6 +33,8 @@ class ModelInputs:
     warehouse: DataFrame | None = None
     # Main physical rows before the warehouse rows were appended; only for the checks.
     physical_main: DataFrame | None = None
+    # What reading left out, as one-row counts by check.
+    losses: Mapping[str, DataFrame] = field(default_factory=dict)
 
 
 @dataclass(frozen=True)
@@ -168,7 +170,7 @@ class Model:
         }
         if rows.warehouse is not None and rows.physical_main is not None:
             found["warehouse_merge"] = quality.warehouse_merge(rows.physical_main, rows.warehouse)
-        return found
+        return found | dict(rows.losses)
 
     @property
     def _unknown_areas(self) -> DataFrame:
@@ -196,6 +198,8 @@ class Model:
         if rows.warehouse is not None and rows.physical_main is not None:
             merged = quality.warehouse_merge(rows.physical_main, rows.warehouse)
             audits.append(merged.toDF(*[f"warehouse_merge__{c}" for c in merged.columns]))
+        for check, lost in rows.losses.items():
+            audits.append(lost.toDF(*[f"{check}__{c}" for c in lost.columns]))
         return quality.report(audits)
 
 
@@ -222,7 +226,8 @@ def _parquet_inputs(
     small = config.broadcast_rows
     stock = pq.read_stock(spark, sources.paths["stock"])
     code_map = keys.broadcast_if_small(txt.read_code_map(spark, sources.get("code_map")), small)
-    read = pq.read_physical(spark, sources.paths["physical"])
+    raw = pq.physical_columns(spark, sources.paths["physical"])
+    read = conform.conform_capacity(raw)
     main = physical = keys.apply_code_map(read, code_map)
     warehouse = None
     if sources.get("warehouse"):
@@ -233,8 +238,9 @@ def _parquet_inputs(
         warehouse = keys.clean_warehouse(keys.apply_code_map(extra, code_map))
         physical = keys.append_new_keys(main, warehouse, facts.CELL)
 
+    branch_rows = pq.read_branches(spark, sources.paths["branches"])
     branches = areas.assign_area(
-        _unique_branches(pq.read_branches(spark, sources.paths["branches"])),
+        _unique_branches(branch_rows),
         # Areas of the main file only, as read.
         areas.elect(areas.votes_by_number(read), "branch_id"),
         None,
@@ -247,19 +253,23 @@ def _parquet_inputs(
         realloc = keys.fill_branch_name(realloc, branches)
     else:
         realloc = schema.empty(spark, schema.REALLOC)
-    return ModelInputs(stock, branches, physical, realloc, warehouse, main)
+    losses = {
+        "duplicate_branches": quality.duplicate_branches(branch_rows),
+        "unreadable_branches": conform.unreadable(raw, "branch_id"),
+    }
+    return ModelInputs(stock, branches, physical, realloc, warehouse, main, losses)
 
 
 def _csv_inputs(spark: SparkSession, sources: SourceSet, config: ModelConfig) -> ModelInputs:
     small = config.broadcast_rows
     stock = conform.conform_stock(txt.parse_stock_export(spark, sources.paths["stock"]))
     path = sources.paths["capacity"]
-    if path.lower().endswith(".csv"):
-        rows = conform.conform_capacity(txt.read_capacity_csv(spark, path))
-    else:
+    single = path.lower().endswith(".csv")
+    raw = txt.read_capacity_csv(spark, path) if single else txt.read_parts(spark, path)
+    rows = conform.conform_capacity(raw)
+    if not single:
         # Inside a part, which is one branch, rows without a number take that of the others.
-        parts = conform.conform_capacity(txt.read_parts(spark, path))
-        rows = ordered.fill_within_group(parts, ["branch_name"], "branch_id", conform.ORDER)
+        rows = ordered.fill_within_group(rows, ["branch_name"], "branch_id", conform.ORDER)
     names = keys.broadcast_if_small(keys.name_catalogue(stock, conform.ORDER), small)
     rows = keys.fill_branch_from_catalogue(rows, names)
     rows = conform.require(rows, "branch_id")
@@ -277,7 +287,16 @@ def _csv_inputs(spark: SparkSession, sources: SourceSet, config: ModelConfig) ->
         realloc = conform.conform_realloc(txt.read_realloc_csv(spark, sources.paths["realloc"]))
     else:
         realloc = schema.empty(spark, schema.REALLOC)
-    return ModelInputs(stock, _small_table(branches, config), physical, realloc)
+    rejected = txt.rejected_lines(txt.read_export_lines(spark, sources.paths["stock"]))
+    losses = {
+        "duplicate_branches": quality.duplicate_branches(stock),
+        "rejected_lines": rejected.agg(F.count("*").alias("rows")),
+    }
+    if "branch_id" in raw.columns:
+        losses["unreadable_branches"] = conform.unreadable(raw, "branch_id")
+    return ModelInputs(
+        stock, _small_table(branches, config), physical, realloc, losses=losses
+    )
 
 
 def _small_table(branches: DataFrame, config: ModelConfig) -> DataFrame:

@@ -79,6 +79,13 @@ def duplicate_keys(locations: DataFrame) -> DataFrame:
     return duplicate_rows(locations, LOCATION_KEY)
 
 
+def duplicate_branches(branch_rows: DataFrame) -> DataFrame:
+    """Branch rows beyond the first of their number, which the model leaves out."""
+    numbered = branch_rows.where("branch_id is not null").select("branch_id", "branch_name")
+    spellings = numbered.distinct().groupBy("branch_id").count()
+    return spellings.agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("rows"))
+
+
 def no_physical(locations: DataFrame, physical: DataFrame) -> DataFrame:
     """Location ids without a row in the physical fact."""
     found = physical.where("location_id is not null")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -43,15 +44,18 @@ _LISTING = "path string, modificationTime timestamp, length bigint"
 
 def list_entries(spark: SparkSession, root: str) -> DataFrame:
     """Files and folders directly below a folder, by name."""
-    # The last folder of the root marks where an entry's name begins.
-    base = root.rstrip("/").rsplit("/", 1)[-1]
-    below = F.element_at(F.split("path", "/" + _quote(base) + "/", 2), -1)
+    scheme = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+    folder = re.sub(scheme, "", root).rstrip("/") + "/"
+    path = F.regexp_replace("path", scheme, "")
+    if folder.startswith("/"):
+        below = F.substring(path, len(folder) + 1, _LONGEST_PATH)
+    else:  # relative to wherever the file system says
+        below = F.substring_index(path, f"/{folder}", -1)
     entry = F.split_part(below, F.lit("/"), F.lit(1))
     return list_files(spark, root).select(entry.alias("entry")).distinct()
 
 
-def _quote(text: str) -> str:
-    return "\\Q" + text + "\\E"
+_LONGEST_PATH = 1 << 15
 
 
 def parquet_role(entry: Column) -> Column:

@@ -44,11 +44,15 @@ def read_branches(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def physical_columns(spark: SparkSession, path: str) -> DataFrame:
+    """The main capacity file under the conformed names, values as they are."""
+    df = canonicalize(_read(spark, path), fv.CAPACITY_HEADERS)
+    return _must_have(df, tuple(n for n in fv.CAPACITY_HEADERS if n != "marking"), path)
+
+
 def read_physical(spark: SparkSession, path: str) -> DataFrame:
     """Rows of the main capacity file; only the marking may be missing."""
-    df = canonicalize(_read(spark, path), fv.CAPACITY_HEADERS)
-    _must_have(df, tuple(n for n in fv.CAPACITY_HEADERS if n != "marking"), path)
-    return conform_capacity(df)
+    return conform_capacity(physical_columns(spark, path))
 
 
 def read_warehouse(spark: SparkSession, path: str) -> DataFrame:

@@ -252,6 +252,8 @@ def test_checks(model):
         "coverage": (9, 6),
         "plan_diff": (2,),
         "no_branch": (1,),
+        "duplicate_branches": (1,),
+        "unreadable_branches": (0,),
     }
     # The report counts several checks in one go and comes to the same numbers.
     report = {}
@@ -366,7 +368,7 @@ def raw(tmp_path):
     (folder / "lokace-vsechny-nazev.csv").write_text(
         "select x\n1, 1, Chodov, a, 10, 2026\n2, 1, Chodov, b, 2 0, 2026\n"
         "3, 2, Opatov, a, 5, 2026\n4, <null>, <null>, w, 1, 2026\n5, 2, Opatov, w, 1, 2026\n"
-        "6, 1, Second name, c, 1, 2026\n",
+        "6, 1, Second name, c, 1, 2026\n7, 1, short\n",
         encoding="utf-8",
     )
     (folder / "realokace.csv").write_text(
@@ -393,6 +395,8 @@ def test_build_from_one_capacity_csv(spark, tmp_path, raw):
     # A row without a number names its code in every branch, even when it gives a name.
     flagged = found.locations.where("is_realloc").select("location_id").collect()
     assert {r.location_id for r in flagged} == {1, 3, 4, 5}
+    losses = {(r.check, r.value) for r in found.dq_report.where("measure = 'rows'").collect()}
+    assert {("duplicate_branches", 1), ("rejected_lines", 1), ("unreadable_branches", 1)} <= losses
     got = table(found.metrics_location, "location_id", "stock_total", "capacity_total")
     # A plan without a number reaches no cell, and what is flagged counts its plan only,
     # except in storage, which location 1 belongs to.
