@@ -37,10 +37,13 @@ class Tables:
     _read: dict[str, DataFrame] = field(default_factory=dict)
     _models: dict[bool, Model] = field(default_factory=dict)
 
+    def path(self, name: str) -> str:
+        return f"{self.folder}/{name}.parquet"
+
     def table(self, name: str) -> DataFrame:
         """A table, its schema looked up once."""
         if name not in self._read:
-            self._read[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            self._read[name] = self.spark.read.parquet(self.path(name))
         return self._read[name]
 
     # --- dimensions ---------------------------------------------------------------

@@ -15,6 +15,7 @@ from shelfspan.functions.text import code_key
 from shelfspan.operators import areas, conform, flags, keys, ordered
 from shelfspan.plans import explore, facts, quality
 from shelfspan.plans.model import Model
+from shelfspan.sources import parquet as pq
 from shelfspan.sources import text as txt
 
 QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
@@ -47,6 +48,49 @@ def bind(fn: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], Dat
     return lambda spark, folder: plain(fn(tables(spark, folder)))
 
 
+# --- readers, with the headers of the sample tables -----------------------------------------
+
+
+@query
+def read_branches(t: Tables) -> DataFrame:
+    headers = {"branch_id": ["n_nationkey"], "branch_name": ["n_name"]}
+    return pq.read_branches(t.spark, t.path("nation"), headers).drop(*conform.ORDER)
+
+
+@query
+def read_physical(t: Tables) -> DataFrame:
+    headers = {
+        "branch_id": ["l_suppkey"], "branch_name": ["l_linestatus"], "area": ["l_returnflag"],
+        "code": ["l_partkey"], "category": ["l_linenumber"], "capacity_physical": ["l_quantity"],
+        "stock_on_shelf": ["l_extendedprice"],
+    }
+    return pq.read_physical(t.spark, t.path("lineitem"), headers).drop(*conform.ORDER)
+
+
+@query
+def read_warehouse(t: Tables) -> DataFrame:
+    headers = {"branch_id": ["s_nationkey"], "code": ["s_name"], "capacity_physical": ["s_acctbal"]}
+    return pq.read_warehouse(t.spark, t.path("supplier"), headers).drop(*conform.ORDER)
+
+
+@query
+def read_stock(t: Tables) -> DataFrame:
+    headers = {
+        "location_id": ["o_orderkey"], "branch_id": ["o_custkey"], "branch_name": ["o_orderstatus"],
+        "code": ["o_orderpriority"], "stock_total": ["o_totalprice"], "as_of": ["o_orderdate"],
+    }
+    return pq.read_stock(t.spark, t.path("orders"), headers).drop(*conform.ORDER)
+
+
+@query
+def read_realloc(t: Tables) -> DataFrame:
+    headers = {
+        "branch_id": ["p_size"], "code": ["p_name"], "category": ["p_type"],
+        "descriptor": ["p_brand"], "capacity_physical": ["p_retailprice"],
+    }
+    return pq.read_realloc(t.spark, t.path("part"), headers)
+
+
 # --- facts and metrics ------------------------------------------------------------------
 
 

@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfspan.operators.keys import join_null_safe
-
 BLOCK_ROWS = 1 << 18
 
 
@@ -28,35 +26,35 @@ def fill_within_group(
     those lines alone.
     """
     *major, minor = order
-    block = F.struct(*major, F.floor(F.col(minor) / block_rows).alias("_n"))
-    rows = df.withColumn("_block", block)
-    at = [*group, "_block"]
+    block = F.struct(*major, F.floor(F.col(minor) / block_rows).alias("_n")).alias("_block")
+    # Group and block as one value, equal also where a group column is null: rows are shuffled
+    # by it once, for the windows and for the join.
+    rows = df.withColumn("_at", F.struct(*group, block))
 
     up_to_here = (Window.unboundedPreceding, Window.currentRow)
-    forward = Window.partitionBy(*at).orderBy(*order).rowsBetween(*up_to_here)
-    backward = (
-        Window.partitionBy(*at).orderBy(*[F.desc(c) for c in order]).rowsBetween(*up_to_here)
-    )
+    inside = Window.partitionBy("_at").rowsBetween(*up_to_here)
+    downwards = [F.desc(c) for c in order]
     filled = rows.withColumns(
         {
-            "_before": F.last(value, True).over(forward),
-            "_after": F.last(value, True).over(backward),
+            "_before": F.last(value, True).over(inside.orderBy(*order)),
+            "_after": F.last(value, True).over(inside.orderBy(*downwards)),
         }
     )
 
     place = F.when(F.col(value).isNotNull(), F.struct(*order))
-    ends = rows.groupBy(*at).agg(
+    ends = rows.groupBy("_at").agg(
         F.min_by(value, place).alias("_first"), F.max_by(value, place).alias("_last")
     )
-    so_far = (Window.unboundedPreceding, -1)
-    earlier = Window.partitionBy(*group).orderBy("_block").rowsBetween(*so_far)
-    later = Window.partitionBy(*group).orderBy(F.desc("_block")).rowsBetween(*so_far)
+    across = Window.partitionBy(*[F.col("_at")[c] for c in group]).rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    place = F.col("_at._block")
     inherited = ends.select(
-        *at,
-        F.last("_last", True).over(earlier).alias("_carry"),
-        F.last("_first", True).over(later).alias("_ahead"),
+        "_at",
+        F.last("_last", True).over(across.orderBy(place)).alias("_carry"),
+        F.last("_first", True).over(across.orderBy(place.desc())).alias("_ahead"),
     )
 
-    joined = join_null_safe(filled, inherited, at, "left")
+    joined = filled.join(inherited, "_at", "left")
     found = F.coalesce("_before", "_carry", "_after", "_ahead")
     return joined.select(*[found.alias(c) if c == value else F.col(c) for c in df.columns])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,17 +28,21 @@ def _read(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _must_have(df: DataFrame, names: tuple[str, ...], path: str) -> DataFrame:
+def _must_have(df: DataFrame, names: Sequence[str], path: str) -> DataFrame:
     missing = [n for n in names if n not in df.columns]
     if missing:
         raise ValueError(f"{path} lacks columns for {', '.join(missing)}")
     return df
 
 
-def read_branches(spark: SparkSession, path: str) -> DataFrame:
+Headers = Mapping[str, Sequence[str]]
+
+
+def read_branches(
+    spark: SparkSession, path: str, headers: Headers = fv.BRANCH_HEADERS
+) -> DataFrame:
     """Branch numbers and names, with their place in the file."""
-    df = canonicalize(_read(spark, path), fv.BRANCH_HEADERS)
-    _must_have(df, ("branch_id", "branch_name"), path)
+    df = _must_have(canonicalize(_read(spark, path), headers), ("branch_id", "branch_name"), path)
     number = safe_long(F.col("branch_id"), df.schema["branch_id"].dataType)
     name = strip(F.col("branch_name").cast("string"))
     return df.select(
@@ -44,30 +50,40 @@ def read_branches(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def physical_columns(spark: SparkSession, path: str) -> DataFrame:
+def physical_columns(
+    spark: SparkSession, path: str, headers: Headers = fv.CAPACITY_HEADERS
+) -> DataFrame:
     """The main capacity file under the conformed names, values as they are."""
-    df = canonicalize(_read(spark, path), fv.CAPACITY_HEADERS)
+    df = canonicalize(_read(spark, path), headers)
     return _must_have(df, tuple(n for n in fv.CAPACITY_HEADERS if n != "marking"), path)
 
 
-def read_physical(spark: SparkSession, path: str) -> DataFrame:
+def read_physical(
+    spark: SparkSession, path: str, headers: Headers = fv.CAPACITY_HEADERS
+) -> DataFrame:
     """Rows of the main capacity file; only the marking may be missing."""
-    return conform_capacity(physical_columns(spark, path))
+    return conform_capacity(physical_columns(spark, path, headers))
 
 
-def read_warehouse(spark: SparkSession, path: str) -> DataFrame:
+def read_warehouse(
+    spark: SparkSession, path: str, headers: Headers = fv.CAPACITY_HEADERS
+) -> DataFrame:
     """Rows of the warehouse capacity file; any column may be missing."""
-    return conform_capacity(canonicalize(_read(spark, path), fv.CAPACITY_HEADERS))
+    return conform_capacity(canonicalize(_read(spark, path), headers))
 
 
-def read_stock(spark: SparkSession, path: str) -> DataFrame:
+def read_stock(
+    spark: SparkSession, path: str, headers: Headers = fv.STOCK_HEADERS
+) -> DataFrame:
     """Actual stock per location."""
-    df = canonicalize(_read(spark, path), fv.STOCK_HEADERS)
+    df = canonicalize(_read(spark, path), headers)
     return conform_stock(_must_have(df, tuple(fv.STOCK_HEADERS), path))
 
 
-def read_realloc(spark: SparkSession, path: str) -> DataFrame:
+def read_realloc(
+    spark: SparkSession, path: str, headers: Headers = fv.CAPACITY_ALIASES
+) -> DataFrame:
     """Rows of the reallocation plan; headers may be any of the known aliases."""
-    df = canonicalize(conform_part(spark.read.parquet(path), ""), fv.CAPACITY_ALIASES)
+    df = canonicalize(conform_part(spark.read.parquet(path), ""), headers)
     planned = df.drop("capacity_realloc").withColumnRenamed("capacity_physical", "capacity_realloc")
     return conform_realloc(planned)

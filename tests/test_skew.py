@@ -129,4 +129,7 @@ def test_fill_spreads_a_hot_group(spark, small_partitions):
         assert r.v == (before[-1] if before else marks[0])
     plan = out._jdf.queryExecution().executedPlan().toString()
     windows = [w for w in plan.splitlines() if " Window " in w]
-    assert windows and all("_block" in w for w in windows)
+    # Two run over rows, inside blocks; the others over one line per block.
+    assert len(windows) == 4 and sum("windowspecdefinition(_at#" in w for w in windows) == 2
+    # Rows are shuffled once, the lines per block three times.
+    assert plan.count("Exchange hashpartitioning(") == 4
