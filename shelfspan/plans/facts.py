@@ -6,6 +6,8 @@ like any other when grouping.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,17 @@ from shelfspan.operators.flags import attach_location_id
 CELL = ("branch_id", "code_norm", "category")
 
 
+def grouped_rows(rows: DataFrame, measures: Sequence[str]) -> DataFrame:
+    """Source rows with equal attributes as one row each, measures summed.
+
+    Everything the model asks of capacity rows can be had from these: sums of sums, distinct
+    attributes, and which keys occur.  Raw codes and places in files are left behind.
+    """
+    left = {*measures, "code", "src_file", "src_row"}
+    attributes = [c for c in rows.columns if c not in left]
+    return rows.groupBy(*attributes).agg(*[F.sum(m).alias(m) for m in measures])
+
+
 def capacity_cells(
     physical: DataFrame, realloc: DataFrame, all_null_sum: str = "zero"
 ) -> DataFrame:

@@ -41,7 +41,8 @@ class ModelInputs:
 class Model:
     """Tables of the model, each a lazy plan over the inputs.
 
-    Locations, cells and location metrics feed most of the others.  ``materialize`` cuts the
+    Capacity rows, locations, cells and location metrics feed most of the others.
+    ``materialize`` writes them (capacity rows grouped, which are far fewer) and cuts the
     lineage behind them, so that they are worked out once for any number of results.
     """
 
@@ -56,9 +57,23 @@ class Model:
     def branches(self) -> DataFrame:
         return self.inputs.branches
 
+    @cached_property
+    def _physical(self) -> DataFrame:
+        rows = self.inputs.physical
+        if not self.materialize:
+            return rows
+        return self._keep(facts.grouped_rows(rows, ["capacity_physical", "stock_on_shelf"]))
+
+    @cached_property
+    def _realloc(self) -> DataFrame:
+        rows = self.inputs.realloc
+        if not self.materialize:
+            return rows
+        return self._keep(facts.grouped_rows(rows, ["capacity_realloc"]))
+
     @cached_property
     def locations(self) -> DataFrame:
-        flagged = flags.flag_realloc(self.inputs.stock, self.inputs.realloc)
+        flagged = flags.flag_realloc(self.inputs.stock, self._realloc)
         return self._keep(flagged.select(*schema.names(schema.LOCATIONS)))
 
     @cached_property
@@ -72,9 +87,7 @@ class Model:
         return self._keep(self._located(_CELL_ATTRIBUTES))
 
     def _located(self, attributes: Sequence[str]) -> DataFrame:
-        cells = facts.capacity_cells(
-            self.inputs.physical, self.inputs.realloc, self.config.all_null_sum
-        )
+        cells = facts.capacity_cells(self._physical, self._realloc, self.config.all_null_sum)
         named = flags.location_map(self.locations, attributes)
         return flags.attach_location_id(cells, named)
 
@@ -100,11 +113,11 @@ class Model:
 
     @cached_property
     def lookup_physical(self) -> DataFrame:
-        return facts.lookup_physical(self.inputs.physical, self.location_ids)
+        return facts.lookup_physical(self._physical, self.location_ids)
 
     @cached_property
     def lookup_realloc(self) -> DataFrame:
-        return facts.lookup_realloc(self.inputs.realloc, self.location_ids)
+        return facts.lookup_realloc(self._realloc, self.location_ids)
 
     @cached_property
     def effective_capacity(self) -> DataFrame:
@@ -186,9 +199,9 @@ class Model:
         counted = metrics.with_effective(
             self.cells("is_realloc"), self.branches, self.config.storage_area
         )
-        conflicts = quality.area_conflicts(rows.physical)
+        conflicts = quality.area_conflicts(self._physical)
         audits = [
-            quality.key_audit(rows.stock, rows.realloc, rows.physical),
+            quality.key_audit(rows.stock, self._realloc, self._physical),
             quality.location_audit(self.locations, counted, self.config.plan_tolerance),
             conflicts.agg(F.count("*").alias("area_conflicts__branches")),
             self._unknown_areas.select(
