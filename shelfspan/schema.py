@@ -6,18 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 BRANCHES = "branch_id bigint, branch_name string, area string"
 
-STOCK = ("location_id bigint, branch_id bigint, branch_name string, code string, code_norm string, "
-    "stock_total bigint, as_of string, src_file string, src_row bigint")
-
-LOCATIONS = ("location_id bigint, code string, code_norm string, branch_id bigint, branch_name string, "
-    "stock_total bigint, as_of string, is_realloc boolean")
-
-CAPACITY = ("branch_id bigint, branch_name string, area string, code string, code_norm string, "
-    "category string, type string, marking string, capacity_physical double, "
-    "stock_on_shelf double")
-
-REALLOC = ("branch_id bigint, branch_name string, code string, code_norm string, category string, "
-    "descriptor string, capacity_realloc double")
+LOCATIONS = (
+    "location_id bigint, code string, code_norm string, branch_id bigint, branch_name string, "
+    "stock_total bigint, as_of string, is_realloc boolean"
+)
+
+REALLOC = (
+    "branch_id bigint, branch_name string, code string, code_norm string, category string, "
+    "descriptor string, capacity_realloc double"
+)
 
 AREA_MAP = "branch_id bigint, branch_name string, area string, src_file string, src_row bigint"
 
