@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspan.llm import license_rules, quality_llr, secret_owners, site_lines
+from shelfspan.llm import license_rules, quality_llr, secret_owners, sentencepiece_table, site_lines, token_counts
 from shelfspan.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +37,18 @@ def op1_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return token_counts.count_tokens(table(spark, folder, "documents"), path, limit=1024)
+
+
+@query
+def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return sentencepiece_table.digests(table(spark, folder, "documents"), path)
+
+
 @query
 def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
