@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspan.llm import license_rules, quality_llr, secret_owners, sentencepiece_table, site_lines, token_counts
+from shelfspan.llm import license_rules, quality_llr, secret_owners, sentencepiece_table, simhash_trie, site_lines, token_counts
 from shelfspan.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,9 @@ def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op9_license_scans(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return docs.select("doc_id", license_rules.scan(F.col("text")).alias("found")).select("doc_id", "found.*")
+
+
+@query
+def op6_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return simhash_trie.near_duplicates(docs, size=3, budget=2).select("doc_id", "fingerprint", "component_id")
