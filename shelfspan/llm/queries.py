@@ -8,7 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspan.llm import license_rules, quality_llr, secret_owners, sentencepiece_table, simhash_trie, site_lines, token_counts
+from shelfspan.llm import (
+    decontaminate,
+    license_rules,
+    quality_llr,
+    secret_owners,
+    sentencepiece_table,
+    simhash_trie,
+    site_lines,
+    token_counts,
+)
 from shelfspan.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +81,8 @@ def op9_license_scans(spark: SparkSession, folder: str) -> DataFrame:
 def op6_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return simhash_trie.near_duplicates(docs, size=3, budget=2).select("doc_id", "fingerprint", "component_id")
+
+
+@query
+def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
