@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspan.llm import (
+    chat_trie,
     decontaminate,
     license_rules,
     quality_llr,
@@ -17,8 +18,9 @@ from shelfspan.llm import (
     simhash_trie,
     site_lines,
     token_counts,
+    warc,
 )
-from shelfspan.llm.common import table
+from shelfspan.llm.common import checkpointed, shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -86,3 +88,36 @@ def op6_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op4_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    marked = "\\### Assistant: </turn> ok"
+    added = spark.createDataFrame(
+        [(-7, 0, "user", marked), (-7, 1, "assistant", marked)], "conv_id long, turn long, role string, text string"
+    )
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
+    read = chat_trie.read_back(*chat_trie.packed(rows))
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
+        F.length("learnt").cast("long").alias("loss_chars"),
+        F.sha2("learnt", 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
+@query
+def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
+    archives = shared_folder(spark, "warc")
+    files = checkpointed(warc.write(table(spark, folder, "pages"), archives, least_bytes=0))
+    records = warc.read(files, archives).where("gap is null")
+    return records.select(
+        F.col("id").cast("long").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        F.col("type").alias("record_type"),
+        F.col("refers_to").cast("long").alias("refers_to"),
+    )
