@@ -9,7 +9,8 @@ dropped. A line counts once per page. Hosts compare null-safe (null is a host of
 Repeated rows are pages of their own. Extra columns are carried along.
 
 At scale: lines travel as 128-bit hashes, and partial sums shrink a line that stands everywhere before it is shuffled. A host's
-list of furniture is short by arithmetic: at most (mean lines per page) / ratio entries, so it can travel as one row per host.
+list of furniture is short by arithmetic: at most (mean lines per page) / ratio entries, so it can travel as one row per host. The
+list of all hosts is broadcast if its measured size allows, so that texts need not be shuffled; else it is joined.
 """
 
 from __future__ import annotations
@@ -17,10 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfspan.llm.common import BLANKS, let
+from shelfspan.llm.common import BLANKS, checkpointed, let
 
 RATIO = 0.1
 LEAST_PAGES = 5
+ENTRY_BYTES = 48
+BROADCAST_BYTES = 64 << 20
 
 
 def _key(line: Column) -> Column:
@@ -60,7 +63,10 @@ def drop_furniture(
     counts: tuple[str, str] | None = None,
 ) -> DataFrame:
     """All columns of pages with the text cleaned; counts names two more columns: lines that are not blank, and those dropped."""
-    found = furniture(pages, host, text, ratio, least_pages)
+    found = checkpointed(furniture(pages, host, text, ratio, least_pages))
+    entries = found.agg(F.sum(F.size("furniture") + 4)).first()[0] or 0
+    if entries * ENTRY_BYTES <= BROADCAST_BYTES:  # else Spark joins by host, and splits a large one
+        found = F.broadcast(found)
     packed = pages.select(F.struct("*").alias("_page")).join(
         found.withColumnsRenamed({"furniture_host": "_furniture_host", "furniture": "_furniture"}),
         F.col(f"_page.`{host}`").eqNullSafe(F.col("_furniture_host")),
