@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import itertools
 import random
 import re
 
@@ -89,6 +90,11 @@ def words(text):
     return re.findall(r"[^\W_]+", (text or "").lower())
 
 
+def grams(text):
+    w = words(text)
+    return {tuple(w[j : j + 5]) for j in range(len(w) - 4)}
+
+
 def best_windows(docs, items, least=0.8):
     out = {}
     for k, text in docs:
@@ -99,7 +105,11 @@ def best_windows(docs, items, least=0.8):
             if not b:
                 continue
             want = collections.Counter(tuple(b[j : j + width]) for j in range(len(b) - width + 1))
+            inside = [tuple(d[s : s + width]) in want for s in range(max(len(d) - width + 1, 0))]
+            upto = [0, *itertools.accumulate(inside)]
             for s in range(len(d) - len(b) + 1):
+                if upto[s + len(b) - width + 1] - upto[s] < least * sum(want.values()):
+                    continue  # too few of the window's shingles are the item's
                 have = collections.Counter(tuple(d[s + j : s + j + width]) for j in range(len(b) - width + 1))
                 both = sum((have & want).values())
                 value = both / (2 * sum(want.values()) - both)
@@ -111,8 +121,8 @@ def best_windows(docs, items, least=0.8):
 def test_passages_of_whole_table(spark):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    shingled = {i: {tuple(words(t)[j : j + 5]) for j in range(len(words(t)) - 4)} for i, t in items}
-    near = [(k, t) for k, t in docs if any(tuple(words(t)[j : j + 5]) in s for s in shingled.values() for j in range(len(words(t)) - 4))]
+    known = set().union(*(grams(t) for _, t in items))
+    near = [(k, t) for k, t in docs if grams(t) & known]
     got = {(r["doc_id"], r["item_id"]): (r["similarity"], r["first_word"]) for r in QUERIES["op10_decontamination"](spark, SF).collect()}
     assert got == best_windows(near, items)
 
@@ -163,8 +173,8 @@ def test_pipeline_equals_plain_python(spark):
     first = {k for k, _, component in groups(rows) if k == component}
     rows = [r for r in rows if r[0] in first]
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    grams = {tuple(words(t)[j : j + 5]) for _, t in items for j in range(len(words(t)) - 4)}
-    near = [(k, t) for k, t in rows if grams & {tuple(words(t)[j : j + 5]) for j in range(len(words(t)) - 4)}]
+    known = set().union(*(grams(t) for _, t in items))
+    near = [(k, t) for k, t in rows if grams(t) & known]
     leaked = {k for k, _ in best_windows(near, items)}
     library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     want = {k: (library.encode(t), library.decode(library.encode(t))) for k, t in rows if k not in leaked}
