@@ -48,16 +48,13 @@ def list_entries(spark: SparkSession, root: str) -> DataFrame:
     folder = re.sub(scheme, "", root).rstrip("/") + "/"
     path = F.regexp_replace("path", scheme, "")
     if folder.startswith("/"):
-        below = F.substring(path, len(folder) + 1, _LONGEST_PATH)
+        below = F.substr(path, F.lit(len(folder) + 1))
     else:  # relative to wherever the file system says
         below = F.substring_index(path, f"/{folder}", -1)
     entry = F.split_part(below, F.lit("/"), F.lit(1))
     return list_files(spark, root).select(entry.alias("entry")).distinct()
 
 
-_LONGEST_PATH = 1 << 15
-
-
 def parquet_role(entry: Column) -> Column:
     """The part a Parquet file plays, judged by words in its name."""
     n = F.lower(entry)

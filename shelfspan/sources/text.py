@@ -118,8 +118,10 @@ def read_capacity_csv(spark: SparkSession, path: str) -> DataFrame:
 def read_parts(spark: SparkSession, path: str) -> DataFrame:
     """Capacity rows of a folder in which every file is one branch, named after it.
 
-    Parts may differ in columns; what a part lacks is null.  Parts with the same header are
-    read in one scan, so the plan grows with the number of distinct headers, not of files.
+    Parts may differ in columns, in how they spell them and in types; what a part lacks is null.
+    Parts with the same header and types are read in one scan, so the plan grows with the number
+    of distinct headers, not of files.  Aliases are resolved in each scan, and values are text
+    until the capacity schema's own safe casts read them.
     """
     names = spark.read.format("binaryFile").load(path).select("path", F.lower("path").alias("low"))
     csv = [r.path for r in names.where("low like '%.csv'").orderBy("path").collect()]
@@ -133,17 +135,24 @@ def read_parts(spark: SparkSession, path: str) -> DataFrame:
         if kind is not None:  # an empty file has neither header nor rows
             groups.setdefault(kind, []).append(part)
     scans = [read_csv(spark, parts, ";", encoding) for (encoding, _), parts in groups.items()]
-    if parquet:
-        merged = spark.read.option("mergeSchema", True).parquet(*parquet)
-        row = F.col("_metadata.row_index").alias("src_row")
-        scans.append(merged.select("*", _file_name().alias("src_file"), row))
+    row = F.col("_metadata.row_index").alias("src_row")
+    for alike in _by_schema(spark, parquet).values():
+        scans.append(spark.read.parquet(*alike).select("*", _file_name().alias("src_file"), row))
     return union_parts([_part(s) for s in scans])
 
 
+def _by_schema(spark: SparkSession, parts: Sequence[str]) -> dict[str, list[str]]:
+    """Parquet files by their columns and types; one footer is read per file."""
+    groups: dict[str, list[str]] = {}
+    for part in parts:
+        groups.setdefault(spark.read.parquet(part).schema.json(), []).append(part)
+    return groups
+
+
 def _part(scan: DataFrame) -> DataFrame:
     name = F.regexp_replace(F.col("src_file"), r"(?i)\.(csv|parquet)$", "")
-    part = conform_part(scan, strip(name))
-    return canonicalize(part, fv.CAPACITY_ALIASES)
+    part = canonicalize(conform_part(scan, strip(name)), fv.CAPACITY_ALIASES)
+    return part.select(*(F.col(f"`{c}`") if c == "src_row" else F.col(f"`{c}`").cast("string").alias(c) for c in part.columns))
 
 
 def union_parts(parts: Sequence[DataFrame]) -> DataFrame:

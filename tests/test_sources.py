@@ -6,6 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from shelfspan.operators.conform import conform_capacity
 from shelfspan.sources import listing, parquet, text
 
 
@@ -96,6 +97,27 @@ def test_parts_keep_their_name_and_lack_columns(spark, tmp_path, rows):
     ]
 
 
+def test_parts_differ_in_spelling_and_types(spark, tmp_path, rows):
+    folder = tmp_path / "parts"
+    parts = {
+        "north": ([("89", "a", 1.5), ("x", "b", 2.0)], "kapacita_cisloknih string, kapacita_lokace_short string, kapacita_plan double"),
+        "south": ([(7, "c", "3"), (8, "d", "none")], "cislo_knihovny long, lokace_short string, kapacita_fyzicka string"),
+        "west": ([(9.0, "e", 4)], "cislo_knihovny double, lokace string, kapacita int"),
+    }
+    write(folder / "east.csv", "Lokace;Kapacita\nf;bad\ng;5\n")
+    for name, (data, schema) in parts.items():
+        spark.createDataFrame(data, schema).coalesce(1).write.parquet(str(tmp_path / name))
+        next((tmp_path / name).glob("part-*.parquet")).rename(folder / f"{name}.parquet")
+    df = conform_capacity(text.read_parts(spark, str(folder)))
+    assert rows(df, "branch_name", "branch_id", "code", "capacity_physical") == sorted(
+        [
+            ("east", None, "f", None), ("east", None, "g", 5.0), ("north", 89, "a", 1.5), ("north", None, "b", 2.0),
+            ("south", 7, "c", 3.0), ("south", 8, "d", None), ("west", 9, "e", 4.0),
+        ],
+        key=lambda t: [(v is None, str(v)) for v in t],
+    )
+
+
 def test_no_parts_is_an_error(spark, tmp_path):
     write(tmp_path / "p" / "readme.md", "x")
     with pytest.raises(FileNotFoundError):
