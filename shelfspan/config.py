@@ -20,8 +20,6 @@ class ModelConfig:
     overload_ratio: float = 1.0
     risk_ratio: float = 0.9
     plan_tolerance: float = 0.01
-    # A lookup is broadcast only when counted to hold at most this many rows.
-    broadcast_rows: int = 200_000
 
     def __post_init__(self) -> None:
         if self.all_null_sum not in ("zero", "null"):

@@ -8,7 +8,6 @@ decimals, so that sums do not depend on the order they are formed in.
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
-from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -240,9 +239,8 @@ class Tables:
         return self._models[shelf]
 
 
-@lru_cache(maxsize=16)
 def tables(spark: SparkSession, folder: str) -> Tables:
-    """The tables of a folder; schemas are looked up and plans put together once."""
+    """The tables of a folder, as they are now."""
     return Tables(spark, folder)
 
 

@@ -510,6 +510,11 @@ def branches_top40(t: Tables) -> DataFrame:
     return explore.branches_top(t.model().metrics_branch, 40, ("ASIA", "EUROPE", "AFRICA"))
 
 
+@query
+def branches_top5(t: Tables) -> DataFrame:
+    return explore.branches_top(t.model().metrics_branch, 5, ("ASIA", "EUROPE", "AFRICA"))
+
+
 @query
 def branch_detail(t: Tables) -> DataFrame:
     return explore.branch_detail(t.model().metrics_location_enriched, "NATION_7")

@@ -191,8 +191,3 @@ CATEGORY_LABELS = {
     "stock_category": "Skutečný stav (počet svazků)",
     "is_realloc": "Realokační lokace",
 }
-SERIES_LABELS = {
-    "capacity_physical": "Přepočítaný kapacitní plán",
-    "stock": "Skutečný stav",
-    "capacity_realloc": "Aktuální kapacitní plán",
-}

@@ -48,15 +48,6 @@ def semi_filter(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(ids.select(key).distinct(), key, "left_semi")
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Mark a lookup for broadcast after counting that it is small enough.
-
-    The count stops one row beyond the limit.  A larger lookup comes back unmarked and is
-    joined by shuffling, with skewed partitions split at run time.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def key_presence(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Per key, how many rows of ``a`` and of ``b`` carry it (``n_a``, ``n_b``).
 

@@ -173,13 +173,13 @@ def present_categories(df: DataFrame, labels: Mapping[str, str] = fv.CATEGORY_LA
 
 
 def present_kpi(figures: DataFrame) -> DataFrame:
-    """Key figures as text: grouped whole numbers, fill with two places and a sign."""
+    """Key figures as text: grouped whole numbers, fill with two places and a sign, the number of locations as it is."""
     pct = F.when(F.col("fill_pct").isNotNull(), F.format_string("%.2f %%", "fill_pct"))
     return figures.select(
         *[
             F.coalesce(pct, F.lit(fv.UNKNOWN)).alias(c)
             if c == "fill_pct"
-            else grouped_number(F.col(c)).alias(c)
+            else (F.col(c).cast("string") if c == "locations" else grouped_number(F.col(c))).alias(c)
             for c in figures.columns
         ]
     )

@@ -236,9 +236,8 @@ def _unique_branches(branches: DataFrame) -> DataFrame:
 def _parquet_inputs(
     spark: SparkSession, sources: SourceSet, config: ModelConfig
 ) -> ModelInputs:
-    small = config.broadcast_rows
     stock = pq.read_stock(spark, sources.paths["stock"])
-    code_map = keys.broadcast_if_small(txt.read_code_map(spark, sources.get("code_map")), small)
+    code_map = txt.read_code_map(spark, sources.get("code_map"))
     raw = pq.physical_columns(spark, sources.paths["physical"])
     read = conform.conform_capacity(raw)
     main = physical = keys.apply_code_map(read, code_map)
@@ -274,7 +273,6 @@ def _parquet_inputs(
 
 
 def _csv_inputs(spark: SparkSession, sources: SourceSet, config: ModelConfig) -> ModelInputs:
-    small = config.broadcast_rows
     stock = conform.conform_stock(txt.parse_stock_export(spark, sources.paths["stock"]))
     path = sources.paths["capacity"]
     single = path.lower().endswith(".csv")
@@ -283,10 +281,10 @@ def _csv_inputs(spark: SparkSession, sources: SourceSet, config: ModelConfig) ->
     if not single:
         # Inside a part, which is one branch, rows without a number take that of the others.
         rows = ordered.fill_within_group(rows, ["branch_name"], "branch_id", conform.ORDER)
-    names = keys.broadcast_if_small(keys.name_catalogue(stock, conform.ORDER), small)
+    names = keys.name_catalogue(stock, conform.ORDER)
     rows = keys.fill_branch_from_catalogue(rows, names)
     rows = conform.require(rows, "branch_id")
-    code_map = keys.broadcast_if_small(txt.read_code_map(spark, sources.get("code_map")), small)
+    code_map = txt.read_code_map(spark, sources.get("code_map"))
     physical = keys.apply_code_map(rows, code_map).drop(*conform.ORDER)
 
     branches = areas.assign_area(
@@ -314,7 +312,7 @@ def _csv_inputs(spark: SparkSession, sources: SourceSet, config: ModelConfig) ->
 
 def _small_table(branches: DataFrame, config: ModelConfig) -> DataFrame:
     """Branches, worked out once, and broadcast when counted to be few."""
-    return keys.broadcast_if_small(checkpointed(branches), config.broadcast_rows)
+    return checkpointed(branches)
 
 
 def read_inputs(

@@ -110,16 +110,6 @@ def test_duplicates(spark, rows):
     assert keys.duplicate_rows(df.where("k = 2"), ["k", "c"]).first()[0] == 0
 
 
-def test_broadcast_only_when_small(spark):
-    df = spark.range(10)
-
-    def hinted(d):
-        return "broadcast" in d._jdf.queryExecution().analyzed().toString().lower()
-
-    assert hinted(keys.broadcast_if_small(df, 10))
-    assert not hinted(keys.broadcast_if_small(df, 9))
-
-
 CODE_MAP = "branch_id bigint, source_code string, target_code string, src_file string, src_row bigint"
 
 
