@@ -129,6 +129,7 @@ def plan_diff(effective: DataFrame, tolerance: float = 0.01) -> DataFrame:
         " and capacity_physical is not null and capacity_realloc is not null"
     )
     sums = both.groupBy("location_id").agg(
+        F.min("code_norm").alias("code_norm"),
         F.sum("capacity_physical").alias("capacity_physical"),
         F.sum("capacity_realloc").alias("capacity_realloc"),
     )
