@@ -4,7 +4,8 @@ Method. Conversations that share their initial turns share a path of nodes. A tr
 nodes are emitted once each, depth first, as one sequence of characters. Each node carries where it begins in the sequence, the
 position id of its first character (the characters of its ancestors; ids count on by one inside the node), and the attention
 intervals: where its ancestors and itself stand in the sequence, which is all that its characters may attend to besides those
-before them in the node. A conversation is its last node.
+before them in the node. Ancestors that stand side by side make one interval, so a chain of first children needs one only. A
+conversation is its last node.
 
 Template. A turn is `<turn role>text</turn>` and a line feed. In roles and texts every backslash becomes `\\\\` and every `<`
 becomes `\\l`, so no text can hold a mark, and reading back is exact. The loss mask covers the text of assistant turns.
@@ -12,7 +13,10 @@ becomes `\\l`, so no text can hold a mark, and reading back is exact. The loss m
 At scale. Path hashes are made inside each conversation. A node's place is a running sum of lengths in the order of (tree, path): rows
 are dealt out by range and sorted, summed in each partition, and each partition gets the sum of those before it in its tree,
 so one tree may be spread over any number of tasks. Only one line per partition and tree meets in one place, and of those only the trees
-that reach over a border of two partitions have more than one.
+that reach over a border of two partitions have more than one. Attention comes from one pass along each conversation: every node
+belongs to one of the conversations that hold it, which gives it its intervals, so rows grow with the turns and not with turns times
+ancestors. Reading back looks up the nodes inside an interval by blocks of `BLOCK` characters. Path hashes are the order of the nodes,
+16 bytes for a turn and each turn before it.
 
 Defined cases: null roles and texts are empty; turns are ordered by turn number (null first), then role and text; repeated rows are
 turns like any other; null is a conversation of its own; equal conversations share all nodes. Extra columns are not looked at. A
@@ -34,6 +38,7 @@ from shelfspan.llm.common import checkpointed, no_nulls
 
 ASSISTANT = "assistant"
 TURN = re.compile(r"<turn ([^<>]*)>([^<]*)</turn>\n")
+BLOCK = 1024
 UNESCAPE = re.compile(r"\\(.)", re.S)
 
 
@@ -106,15 +111,16 @@ def packed(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The nodes and the conversations.
 
     Nodes: tree, node, start, end (in the tree's sequence), position (id of the first character), formatted, loss_from, loss_to
-    (in the node; equal if nothing is learnt), attention (array of struct(start, end): ancestors, then the node itself).
+    (in the node; equal if nothing is learnt), attention (array of struct(start, end): ancestors, those side by side as one, then
+    the node itself).
     Conversations: conv_id, tree, node (the last one), attention.
     """
     turns = checkpointed(_paths(conversations))
     nodes = turns.groupBy("path").agg(
-        *(F.first(c).alias(c) for c in ("position", "formatted", "loss_from", "loss_to"))
+        F.min(F.struct("conv_id")).alias("owner"), *(F.first(c).alias(c) for c in ("position", "formatted", "loss_from", "loss_to"))
     )
     laid = nodes.select(
-        F.get("path", F.lit(0)).alias("tree"), "path", "position", "formatted", "loss_from", "loss_to", F.length("formatted").cast("long").alias("size")
+        F.get("path", F.lit(0)).alias("tree"), "path", "owner", "position", "formatted", "loss_from", "loss_to", F.length("formatted").cast("long").alias("size")
     )
     # Depth first: a path sorts after its own beginnings and before its parent's next child.
     ordered = laid.repartitionByRange("tree", "path").sortWithinPartitions("tree", "path").withColumn("part", F.spark_partition_id())
@@ -149,31 +155,69 @@ def packed(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
         ).alias("b"),
     ).select("broken_tree", F.col("b.part").alias("broken_part"), "b.base")
     placed = in_part.join(bases, (F.col("tree") == F.col("broken_tree")) & (F.col("part") == F.col("broken_part")), "left").select(
-        "tree", "path", "position", "formatted", "loss_from", "loss_to", "size", (F.coalesce("base", F.lit(0)) + F.col("before")).alias("start")
+        "tree", "path", "owner", "position", "formatted", "loss_from", "loss_to", "size", (F.coalesce("base", F.lit(0)) + F.col("before")).alias("start")
     )
     node = F.element_at("path", -1)
     placed = checkpointed(placed.withColumn("node", node).withColumn("end", F.col("start") + F.col("size")))
-    spans = placed.select(F.col("node").alias("ancestor"), F.struct("start", "end").alias("span"))
-    attention = (
-        placed.select("node", F.explode("path").alias("above"))
-        .join(spans, F.col("above") == F.col("ancestor"))
-        .groupBy(F.col("node").alias("of"))
-        .agg(F.sort_array(F.collect_list("span")).alias("attention"))
-    )
+    seen = checkpointed(_attention(turns, placed))
+    own = seen.where("owned").select(F.col("node").alias("of"), "attention")
     columns = ["tree", "node", "start", "end", "position", "formatted", "loss_from", "loss_to", "attention"]
-    whole = checkpointed(placed.join(attention, F.col("node") == F.col("of")).select(*columns))
-    last = turns.where("last").select("conv_id", F.element_at("path", -1).alias("last_node"))
-    convs = last.join(whole.select("tree", "node", "attention"), F.col("last_node") == F.col("node")).select("conv_id", "tree", "node", "attention")
-    return whole, convs
+    whole = placed.join(own, F.col("node") == F.col("of")).select(*columns)
+    return whole, seen.where("last").select("conv_id", "tree", "node", "attention")
+
+
+def _attention(turns: DataFrame, placed: DataFrame) -> DataFrame:
+    """(conv_id, tree, node, attention, owned, last): the nodes that a conversation gives their intervals, and its last node."""
+    places = placed.select(F.col("node").alias("placed"), "tree", "start", "end", F.col("owner.conv_id").alias("owner"))
+    steps = turns.select("conv_id", "depth", "last", F.element_at("path", -1).alias("node")).join(places, F.col("node") == F.col("placed"))
+    step = F.struct("depth", "start", "end", "node", F.col("conv_id").eqNullSafe(F.col("owner")).alias("owned"), "last")
+    chains = steps.groupBy("conv_id", "tree").agg(F.sort_array(F.collect_list(step)).alias("steps"))
+    span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+    fields = [("node", T.BinaryType()), ("attention", span), ("owned", T.BooleanType()), ("last", T.BooleanType())]
+    schema = T.StructType([*chains.schema.fields[:2], *(T.StructField(n, kind) for n, kind in fields)])
+    spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+    def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds = [batch.schema.field(0).type, pa.binary(), pa.binary(), spans, pa.bool_(), pa.bool_()]
+            rows: list[tuple] = []
+            for at in range(len(batch)):
+                conv, tree, steps = (batch.column(c)[at].as_py() for c in range(3))
+                above: list[tuple[int, int]] = []
+                for k in steps:
+                    mine = (k["start"], k["end"])
+                    if k["owned"] or k["last"]:
+                        rows.append((conv, tree, k["node"], [{"start": a, "end": b} for a, b in (*above, mine)], k["owned"], k["last"]))
+                    if above and above[-1][1] == mine[0]:
+                        above[-1] = (above[-1][0], mine[1])
+                    else:
+                        above.append(mine)
+                    if len(rows) >= 1024:
+                        yield _batch(rows, kinds, schema.names)
+                        rows = []
+            yield _batch(rows, kinds, schema.names)
+
+    return chains.mapInArrow(walked, schema)
+
+
+def _batch(rows: list[tuple], kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)], names)
 
 
 def read_back(nodes: DataFrame, conversations: DataFrame) -> DataFrame:
     """Per conversation what its attention intervals show of the sequences: conv_id, turns (array of struct(role, text)),
     learnt (texts under the loss mask, put together), formatted_chars."""
-    parts = conversations.select("conv_id", F.col("tree").alias("of_tree"), F.posexplode("attention").alias("k", "span"))
-    pieces = nodes.select("tree", "start", "end", "formatted", "loss_from", "loss_to")
-    match = (F.col("of_tree") == F.col("tree")) & (F.col("span.start") == F.col("start")) & (F.col("span.end") == F.col("end"))
-    piece = F.struct("k", "formatted", "loss_from", "loss_to")
+
+    def block(place: Column) -> Column:
+        return F.floor(place / BLOCK)
+
+    parts = conversations.select("conv_id", F.col("tree").alias("of_tree"), F.explode("attention").alias("span")).select(
+        "*", F.explode(F.sequence(block(F.col("span.start")), block(F.col("span.end") - 1))).alias("of_block")
+    )
+    pieces = nodes.select("tree", "start", "formatted", "loss_from", "loss_to", block(F.col("start")).alias("block"))
+    inside = (F.col("start") >= F.col("span.start")) & (F.col("start") < F.col("span.end"))
+    match = (F.col("of_tree") == F.col("tree")) & (F.col("of_block") == F.col("block")) & inside
+    piece = F.struct("start", "formatted", "loss_from", "loss_to")
     rows = parts.join(pieces, match).groupBy("conv_id").agg(F.sort_array(F.collect_list(piece)).alias("pieces"))
     turn = T.StructType([T.StructField("role", T.StringType()), T.StructField("text", T.StringType())])
     schema = T.StructType(

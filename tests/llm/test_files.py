@@ -63,6 +63,17 @@ def test_chat_trees(spark):
     assert chat_trie.read_back(*chat_trie.packed(table.where("conv_id = 99"))).count() == 0
 
 
+def test_chat_chain_needs_one_interval(spark):
+    rows = [(c, k, "user" if k % 2 else "assistant", f"{k} " + "x" * (k * 37 % 1500)) for c in (1, 2) for k in range(300)]
+    rows += [(2, 300, "user", "last"), (3, 0, *rows[0][2:]), (3, 1, "user", "other")]
+    nodes, convs = chat_trie.packed(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert nodes.count() == 302
+    spans = {r["conv_id"]: r["attention"] for r in convs.collect()}
+    assert all(len(a) <= 3 for a in spans.values()) and nodes.where("size(attention) > 3").isEmpty()
+    back = {r["conv_id"]: [(t["role"], t["text"]) for t in r["turns"]] for r in chat_trie.read_back(nodes, convs).collect()}
+    assert back == {c: [r[2:] for r in rows if r[0] == c] for c in (1, 2, 3)}
+
+
 def _by(rows, name):
     out = collections.defaultdict(list)
     for r in rows:
