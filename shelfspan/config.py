@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from shelfspan import fixed_values as fv
@@ -26,6 +27,31 @@ class ModelConfig:
             raise ValueError("all_null_sum is either 'zero' or 'null'")
 
 
+@dataclass(frozen=True)
+class SourceNames:
+    """By which names and words inputs are found; words are looked for in lower case."""
+
+    realloc_word: str = fv.REALLOC_WORD
+    physical_word: str = "capacity"
+    branches_prefix: str = fv.BRANCHES_PREFIX
+    branch_stock_word: str = fv.BRANCH_STOCK_WORD
+    stock_words: tuple[str, ...] = fv.STOCK_WORDS
+    warehouse_word: str = fv.WAREHOUSE_WORD
+    stock_export: str = fv.STOCK_EXPORT_FILE
+    stock_fallbacks: tuple[str, ...] = fv.STOCK_FALLBACK_FILES
+    realloc: str = fv.REALLOC_FILE
+    capacity_parts: tuple[str, ...] = ("capacity_parts", "kapacita")
+    capacity: str = fv.CAPACITY_FILE
+    area_map: str = fv.AREA_MAP_FILE
+    code_map: str = fv.CODE_MAP_FILE
+
+    @classmethod
+    def from_json(cls, text: str) -> SourceNames:
+        """Settings as a JSON object; what it leaves out keeps its default, unknown keys are an error."""
+        given = json.loads(text)
+        return cls(**{k: tuple(v) if isinstance(v, list) else v for k, v in given.items()})
+
+
 @dataclass(frozen=True)
 class FilterSpec:
     """A reader's selection; an empty tuple does not restrict anything."""

@@ -132,14 +132,12 @@ CODE_MAP_ALIASES = {
 STOCK_EXPORT_FILE = "lokace-vsechny-nazev.csv"
 STOCK_FALLBACK_FILES = ("lokace-vsechny.csv", "lokace-neprazdne.csv")
 REALLOC_FILE = "realokace.csv"
-CAPACITY_PARTS_FOLDERS = ("Kapacity - návrh pro sběr dat", "kapacita")
 CAPACITY_FILE = "kapacita.csv"
 AREA_MAP_FILE = "oblast_map.csv"
 CODE_MAP_FILE = "lokace_map_prepocet.csv"
 
 # --- fixed values: words in Parquet file names ----------------------------------------
 REALLOC_WORD = "realok"
-PHYSICAL_WORD = "kapacity"
 BRANCHES_PREFIX = "pobo"
 BRANCH_STOCK_WORD = "stavy"
 STOCK_WORDS = ("skuteč", "skutec")

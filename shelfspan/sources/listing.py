@@ -10,7 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspan import fixed_values as fv
+from shelfspan.config import SourceNames
 from shelfspan.schema import empty
 
 REQUIRED = ("physical", "branches", "stock")
@@ -55,26 +55,26 @@ def list_entries(spark: SparkSession, root: str) -> DataFrame:
     return list_files(spark, root).select(entry.alias("entry")).distinct()
 
 
-def parquet_role(entry: Column) -> Column:
+def parquet_role(entry: Column, names: SourceNames = SourceNames()) -> Column:
     """The part a Parquet file plays, judged by words in its name."""
     n = F.lower(entry)
-    is_stock = n.contains(fv.STOCK_WORDS[0]) | n.contains(fv.STOCK_WORDS[1])
+    is_stock = F.greatest(F.lit(False), *(n.contains(word) for word in names.stock_words))
     return (
-        F.when(n.contains(fv.REALLOC_WORD), "realloc")
-        .when(n.contains(fv.PHYSICAL_WORD), "physical")
+        F.when(n.contains(names.realloc_word), "realloc")
+        .when(n.contains(names.physical_word), "physical")
         .when(
-            n.startswith(fv.BRANCHES_PREFIX) & ~n.contains(fv.BRANCH_STOCK_WORD),
+            n.startswith(names.branches_prefix) & ~n.contains(names.branch_stock_word),
             "branches",
         )
         .when(is_stock, "stock")
-        .when(n.contains(fv.WAREHOUSE_WORD), "warehouse")
+        .when(n.contains(names.warehouse_word), "warehouse")
     )
 
 
-def discover_parquet(entries: DataFrame) -> DataFrame:
+def discover_parquet(entries: DataFrame, names: SourceNames = SourceNames()) -> DataFrame:
     """Role and file name; of several files for a role, the last in name order counts."""
     known = entries.where(F.lower("entry").endswith(".parquet")).select(
-        parquet_role(F.col("entry")).alias("role"), "entry"
+        parquet_role(F.col("entry"), names).alias("role"), "entry"
     )
     return known.where("role is not null").groupBy("role").agg(
         F.max_by("entry", "entry").alias("entry")
@@ -82,7 +82,8 @@ def discover_parquet(entries: DataFrame) -> DataFrame:
 
 
 def resolve_sources(
-    spark: SparkSession, root: str, raw: str | None = None, capacity: str | None = None
+    spark: SparkSession, root: str, raw: str | None = None, capacity: str | None = None,
+    names: SourceNames = SourceNames(),
 ) -> SourceSet:
     """Decide which files a build reads.
 
@@ -93,31 +94,31 @@ def resolve_sources(
     root = root.rstrip("/")
     raw = (raw or f"{root}/data_raw").rstrip("/")
     # At most one row per role.
-    found = {r.role: f"{root}/{r.entry}" for r in discover_parquet(list_entries(spark, root)).collect()}
+    found = {r.role: f"{root}/{r.entry}" for r in discover_parquet(list_entries(spark, root), names).collect()}
     wanted = (
-        fv.STOCK_EXPORT_FILE,
-        *fv.STOCK_FALLBACK_FILES,
-        fv.REALLOC_FILE,
-        fv.AREA_MAP_FILE,
-        fv.CODE_MAP_FILE,
-        *fv.CAPACITY_PARTS_FOLDERS,
-        fv.CAPACITY_FILE,
+        names.stock_export,
+        *names.stock_fallbacks,
+        names.realloc,
+        names.area_map,
+        names.code_map,
+        *names.capacity_parts,
+        names.capacity,
     )
     entries = list_entries(spark, raw).where(F.col("entry").isin(*wanted))
     at_hand = {r.entry for r in entries.collect()}
 
-    def first(*names: str) -> str | None:
-        return next((f"{raw}/{n}" for n in names if n in at_hand), None)
+    def first(*files: str) -> str | None:
+        return next((f"{raw}/{n}" for n in files if n in at_hand), None)
 
-    maps = {"area_map": first(fv.AREA_MAP_FILE), "code_map": first(fv.CODE_MAP_FILE)}
+    maps = {"area_map": first(names.area_map), "code_map": first(names.code_map)}
     if all(role in found for role in REQUIRED):
         return SourceSet("parquet", _present({**found, **maps}))
     if capacity is not None and list_files(spark, capacity).isEmpty():
         capacity = None
     texts = {
-        "stock": first(fv.STOCK_EXPORT_FILE, *fv.STOCK_FALLBACK_FILES),
-        "realloc": first(fv.REALLOC_FILE),
-        "capacity": capacity or first(*fv.CAPACITY_PARTS_FOLDERS, fv.CAPACITY_FILE),
+        "stock": first(names.stock_export, *names.stock_fallbacks),
+        "realloc": first(names.realloc),
+        "capacity": capacity or first(*names.capacity_parts, names.capacity),
         **maps,
     }
     missing = [role for role in ("stock", "capacity") if texts[role] is None]
@@ -152,4 +153,6 @@ def input_manifest(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 
 def unchanged(current: DataFrame, stored: DataFrame) -> bool:
     """Whether the inputs are those of the stored manifest, so a rebuild can be skipped."""
-    return not current.join(stored, ["files", "bytes", "fingerprint"], "left_semi").isEmpty()
+    if set(current.columns) != set(stored.columns):
+        return False
+    return not current.join(stored, current.columns, "left_semi").isEmpty()

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspan.plans.model import Model
+from shelfspan.sources.listing import list_files
 
 # Export name and the model's table behind it.
 EXPORTS = {
@@ -34,6 +35,12 @@ def export(model: Model, folder: str, fmt: str = "parquet") -> None:
             writer.format(fmt).save(f"{folder}/{name}")
 
 
+def complete(spark: SparkSession, folder: str) -> bool:
+    """Whether every table is there; a write moves its files into place when it is done."""
+    done = list_files(spark, folder).select(F.element_at(F.split("path", "/"), -2).alias("name")).where(F.col("name").isin(*EXPORTS))
+    return done.distinct().count() == len(EXPORTS)
+
+
 def write_dq(report: DataFrame, folder: str) -> None:
     """Write the quality report as a table and as lines of text."""
     report.write.mode("overwrite").parquet(f"{folder}/table")

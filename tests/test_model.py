@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -44,7 +45,7 @@ def bundle(spark, tmp_path_factory):
         "`Pobočka č.` double, `Pobočka` string",
     )
     save(
-        spark, root, "Přepočítané kapacity.parquet",
+        spark, root, "Capacity.parquet",
         [
             (1.0, "Střed", " Jih ", "a-1", "x", "m1", 100.0, 80.0),
             (1.0, "Střed", "Jih", "A-1 ", "x", "m2", 20.0, None),
@@ -345,11 +346,15 @@ def test_batch_run_skips_unchanged_inputs(spark, bundle, tmp_path):
     out = str(tmp_path / "out")
     assert run(spark, str(bundle), out)
     assert not run(spark, str(bundle), out)
+    assert run(spark, str(bundle), out, "csv") and not run(spark, str(bundle), out, "csv")
+    assert run(spark, str(bundle), out) and run(spark, str(bundle), out, config=ModelConfig(risk_ratio=0.5))
+    shutil.rmtree(f"{out}/exports/metrics_area")
+    assert run(spark, str(bundle), out)
     assert spark.read.parquet(f"{out}/exports/metrics_network").first().locations == 9
 
 
 def test_bundle_without_optional_files(spark, bundle, tmp_path):
-    for name in ("Pobočky", "Přepočítané kapacity", "Skutečný stav"):
+    for name in ("Pobočky", "Capacity", "Skutečný stav"):
         spark.read.parquet(str(bundle / f"{name}.parquet")).write.parquet(str(tmp_path / f"{name}.parquet"))
     found = build_model(spark, resolve_sources(spark, str(tmp_path)))
     assert found.locations.where("is_realloc").isEmpty() and found.lookup_realloc.isEmpty()

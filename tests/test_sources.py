@@ -6,6 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from shelfspan.config import SourceNames
 from shelfspan.operators.conform import conform_capacity
 from shelfspan.sources import listing, parquet, text
 
@@ -245,8 +246,8 @@ def folder_of(spark, path):
 def test_parquet_bundle_wins_and_last_name_counts(spark, tmp_path):
     for name in (
         "Pobočky.parquet",
-        "Přepočítané kapacity 1.parquet",
-        "Přepočítané kapacity 2.parquet",
+        "Capacity 1.parquet",
+        "Capacity 2.parquet",
         "Skutečný stav - realokace.parquet",
         "Skutecny stav.parquet",
         "Sklady + 100%.parquet",
@@ -260,7 +261,7 @@ def test_parquet_bundle_wins_and_last_name_counts(spark, tmp_path):
     assert found.mode == "parquet"
     assert {k: os.path.basename(v) for k, v in found.paths.items()} == {
         "branches": "Pobočky.parquet",
-        "physical": "Přepočítané kapacity 2.parquet",
+        "physical": "Capacity 2.parquet",
         "realloc": "Skutečný stav - realokace.parquet",
         "stock": "Skutecny stav.parquet",
         "warehouse": "Sklady + 100%.parquet",
@@ -283,14 +284,26 @@ def test_incomplete_bundle_falls_back_to_text(spark, tmp_path):
     found = listing.resolve_sources(spark, str(tmp_path))
     assert os.path.basename(found.paths["stock"]) == "lokace-vsechny.csv"
     assert os.path.basename(found.paths["capacity"]) == "kapacita"
-    write(raw / "Kapacity - návrh pro sběr dat" / "Chodov.csv", "a;b\n")
+    write(raw / "capacity_parts" / "Chodov.csv", "a;b\n")
     found = listing.resolve_sources(spark, str(tmp_path))
-    assert os.path.basename(found.paths["capacity"]) == "Kapacity - návrh pro sběr dat"
+    assert os.path.basename(found.paths["capacity"]) == "capacity_parts"
     other = write(tmp_path / "other.csv", "a;b\n")
     assert listing.resolve_sources(spark, str(tmp_path), capacity=other).paths["capacity"] == other
     assert listing.resolve_sources(spark, str(tmp_path), capacity="/absent.csv") == found
 
 
+def test_names_are_a_setting(spark, tmp_path):
+    for name in ("Sites.parquet", "Room.parquet", "On hand.parquet"):
+        folder_of(spark, tmp_path / name)
+    names = SourceNames.from_json('{"physical_word": "room", "branches_prefix": "sites", "stock_words": ["on hand"]}')
+    found = listing.resolve_sources(spark, str(tmp_path), names=names)
+    assert {k: os.path.basename(v) for k, v in found.paths.items()} == {
+        "branches": "Sites.parquet", "physical": "Room.parquet", "stock": "On hand.parquet",
+    }
+    with pytest.raises(TypeError):
+        SourceNames.from_json('{"unknown": "x"}')
+
+
 def test_nothing_to_read_is_an_error(spark, tmp_path):
     with pytest.raises(FileNotFoundError, match="stock and capacity"):
         listing.resolve_sources(spark, str(tmp_path / "absent"))
