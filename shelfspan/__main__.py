@@ -14,7 +14,7 @@ from shelfspan.sources import sinks
 from shelfspan.sources.listing import input_manifest, resolve_sources, unchanged
 
 
-MODEL_VERSION = 1  # raised when the same inputs give other results
+MODEL_VERSION = 2  # raised when the same inputs give other results
 
 
 def run(
@@ -37,7 +37,7 @@ def run(
         return False
     model = build_model(spark, sources, config)
     sinks.export(model, f"{out}/exports", fmt)
-    sinks.write_dq(model.dq_report, f"{out}/quality")
+    sinks.write_dq(model.dq_report, f"{out}/quality", model.dq_details)
     manifest.write.mode("overwrite").parquet(f"{out}/manifest")
     return True
 

@@ -304,6 +304,23 @@ def parse_stock_export(t: Tables) -> DataFrame:
     return txt.parse_stock_lines(_export_lines(t))
 
 
+@query
+def stock_export_doubts(t: Tables) -> DataFrame:
+    """Export lines of which some names hold a comma and some branches are no numbers."""
+    name = F.when(F.col("c_acctbal") > 5000, "Main, north").otherwise("Main")
+    branch = F.when(F.col("c_mktsegment") == "MACHINERY", "z").otherwise(
+        F.col("c_nationkey").cast("string")
+    )
+    count = F.when(F.col("c_acctbal") < 0, "n/a").otherwise("1 0")
+    lines = t.table("customer").select(
+        F.concat_ws(
+            ",", F.col("c_custkey").cast("string"), branch, name, F.lit("A1"), count,
+            F.lit("2026-01-01"),
+        ).alias("value")
+    )
+    return txt.doubtful_lines(lines)
+
+
 @query
 def stock_export_rejects(t: Tables) -> DataFrame:
     return txt.rejected_lines(_export_lines(t))
@@ -441,6 +458,12 @@ def dq_report(t: Tables) -> DataFrame:
     return Model(t.checked_inputs(), CONFIG).dq_report
 
 
+@query
+def dq_details(t: Tables) -> DataFrame:
+    canonical, unassigned = CONFIG.canonical_areas, CONFIG.unassigned_area
+    return quality.details(t.voting_rows(), t.branches(), canonical, unassigned)
+
+
 # --- reader queries ---------------------------------------------------------------------------
 
 

@@ -63,11 +63,19 @@ def key_presence(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def append_new_keys(base: DataFrame, extra: DataFrame, keys: Sequence[str]) -> DataFrame:
     """All of ``base`` and the rows of ``extra`` whose key ``base`` does not have."""
-    known = base.select(*keys).distinct()
+    known = rows_with_keys_of(base, extra, keys).distinct()
     new = join_null_safe(extra, known, keys, "left_anti")
     return base.unionByName(new.select(*base.columns))
 
 
+def rows_with_keys_of(base: DataFrame, extra: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys of the rows of ``base`` whose key ``extra`` has too.
+
+    Where Spark broadcasts the keys of a small ``extra``, the rows of ``base`` are not shuffled.
+    """
+    return join_null_safe(base.select(*keys), extra.select(*keys).distinct(), keys, "left_semi")
+
+
 def dedupe(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], keep: str = "first"
 ) -> DataFrame:

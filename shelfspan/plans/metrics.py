@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfspan.config import ModelConfig
 from shelfspan.functions.numeric import guarded_pct, guarded_ratio
+from shelfspan.operators.keys import join_null_safe
 
 EFFECTIVE = (
     "location_id",
@@ -104,12 +105,17 @@ def metrics_location(
 
     The rules for the capacity that counts are the same for all cells of a location, so
     cells, which need the location id only, are summed first and the rules applied to the
-    sums.  The grouping at the end runs on the partitioning of the join before it; it only
-    changes anything for locations listed twice with the same attributes.
+    sums.  Locations listed twice with the same attributes are summed up on the partitioning
+    by location id, before the branch is looked up: nothing relies on the partitioning of
+    that last join, so the adaptive skew join can split a hot branch.
     """
-    joined = locations.join(location_sums(cells), "location_id", "left").join(
-        branches.select("branch_id", "area"), "branch_id", "left"
+    listed = ("location_id", "code", "branch_name", "branch_id", "is_realloc", "stock_total")
+    sums = ("_physical", "_planned_shared", "_planned_alone")
+    once = locations.join(location_sums(cells), "location_id", "left").groupBy(*listed).agg(
+        *[F.sum(c).alias(c) for c in sums]
     )
+    areas = branches.where("branch_id is not null").select("branch_id", "area")
+    joined = join_null_safe(once, areas, ["branch_id"])
     physical, flagged = F.col("_physical"), F.col("is_realloc")
     planned = _either(F.col("_planned_shared"), F.col("_planned_alone"))
     stored = F.when(flagged, _either(physical, F.col("_planned_alone"))).otherwise(physical)
@@ -119,12 +125,11 @@ def metrics_location(
         .otherwise(physical)
     )
     counted = F.when(flagged, planned).otherwise(F.col("_planned_shared"))
-    return joined.groupBy(
-        "location_id", "code", "branch_name", "branch_id", "area", "is_realloc", "stock_total"
-    ).agg(
-        F.sum(effective).alias("capacity_total"),
-        F.sum(physical).alias("capacity_physical_sum"),
-        F.sum(counted).alias("capacity_realloc_sum"),
+    return joined.select(
+        "location_id", "code", "branch_name", "branch_id", "area", "is_realloc", "stock_total",
+        effective.alias("capacity_total"),
+        physical.alias("capacity_physical_sum"),
+        counted.alias("capacity_realloc_sum"),
     )
 
 

@@ -192,6 +192,14 @@ class Model:
             self.branches, config.canonical_areas, config.unassigned_area
         )
 
+    @cached_property
+    def dq_details(self) -> DataFrame:
+        """Branches in conflict with their areas, and unknown areas, by name."""
+        config = self.config
+        return quality.details(
+            self._physical, self.branches, config.canonical_areas, config.unassigned_area
+        )
+
     @cached_property
     def dq_report(self) -> DataFrame:
         """The counts of all checks, worked out together where they share a key."""
@@ -298,10 +306,15 @@ def _csv_inputs(spark: SparkSession, sources: SourceSet, config: ModelConfig) ->
         realloc = conform.conform_realloc(txt.read_realloc_csv(spark, sources.paths["realloc"]))
     else:
         realloc = schema.empty(spark, schema.REALLOC)
-    rejected = txt.rejected_lines(txt.read_export_lines(spark, sources.paths["stock"]))
+    lines = txt.read_export_lines(spark, sources.paths["stock"])
+    rejected = txt.rejected_lines(lines)
     losses = {
-        "duplicate_branches": quality.duplicate_branches(stock),
+        # Stock rows repeat their branch; what the model leaves out are further spellings of it.
+        "duplicate_branches": quality.duplicate_branches(
+            stock.select("branch_id", "branch_name").distinct()
+        ),
         "rejected_lines": rejected.agg(F.count("*").alias("rows")),
+        "doubtful_lines": txt.doubtful_lines(lines),
     }
     if "branch_id" in raw.columns:
         losses["unreadable_branches"] = conform.unreadable(raw, "branch_id")

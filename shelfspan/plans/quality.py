@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfspan.operators.areas import conflicts, votes_by_name, votes_by_number
-from shelfspan.operators.keys import duplicate_rows, key_presence
+from shelfspan.operators.keys import duplicate_rows, key_presence, rows_with_keys_of
 
 LOCATION_KEY = ("branch_id", "code_norm")
 CELL_KEY = ("branch_id", "code_norm", "category")
@@ -39,7 +39,7 @@ def source_overlap(stock: DataFrame, realloc: DataFrame) -> DataFrame:
 
 def warehouse_merge(physical: DataFrame, warehouse: DataFrame) -> DataFrame:
     """How many cleaned warehouse rows were new and how many were already known."""
-    keys = key_presence(physical, warehouse, CELL_KEY)
+    keys = key_presence(rows_with_keys_of(physical, warehouse, CELL_KEY), warehouse, CELL_KEY)
 
     def rows(condition) -> Column:
         return F.coalesce(F.sum(F.when(condition, F.col("n_b"))), F.lit(0))
@@ -60,15 +60,36 @@ def area_conflicts(capacity: DataFrame) -> DataFrame:
     )
 
 
+def _odd_areas(branches: DataFrame, canonical: Sequence[str], unassigned: str) -> DataFrame:
+    odd = F.col("area").isNotNull() & ~F.col("area").isin(*canonical, unassigned)
+    return branches.where(odd).select("area").distinct()
+
+
 def unknown_areas(branches: DataFrame, canonical: Sequence[str], unassigned: str) -> DataFrame:
     """How many areas outside the canonical set branches carry, and which."""
-    odd = branches.where(
-        F.col("area").isNotNull() & ~F.col("area").isin(*canonical, unassigned)
-    ).select("area").distinct()
+    odd = _odd_areas(branches, canonical, unassigned)
     listed = F.concat_ws(", ", F.sort_array(F.collect_list("area")))
     return odd.agg(F.count("*").alias("unknown_areas"), listed.alias("areas"))
 
 
+def details(
+    capacity: DataFrame, branches: DataFrame, canonical: Sequence[str], unassigned: str
+) -> DataFrame:
+    """What the report only counts: ``check, key, text``, a row per branch in conflict and per unknown area.
+
+    The key is the branch's number, or its name where it has none, and empty for areas.
+    """
+    conflicting = area_conflicts(capacity).select(
+        F.lit("area_conflicts").alias("check"),
+        F.coalesce(F.col("branch_id").cast("string"), F.col("branch_name")).alias("key"),
+        F.col("areas").alias("text"),
+    )
+    unknown = _odd_areas(branches, canonical, unassigned).select(
+        F.lit("unknown_areas").alias("check"), F.lit("").alias("key"), F.col("area").alias("text")
+    )
+    return conflicting.unionByName(unknown)
+
+
 def duplicate_ids(locations: DataFrame) -> DataFrame:
     """Rows whose location id occurs more than once."""
     return duplicate_rows(locations, ["location_id"])
@@ -80,10 +101,9 @@ def duplicate_keys(locations: DataFrame) -> DataFrame:
 
 
 def duplicate_branches(branch_rows: DataFrame) -> DataFrame:
-    """Branch rows beyond the first of their number, which the model leaves out."""
-    numbered = branch_rows.where("branch_id is not null").select("branch_id", "branch_name")
-    spellings = numbered.distinct().groupBy("branch_id").count()
-    return spellings.agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("rows"))
+    """Branch rows beyond the first of their number, equal ones too, which the model leaves out."""
+    listed = branch_rows.where("branch_id is not null").groupBy("branch_id").count()
+    return listed.agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("rows"))
 
 
 def no_physical(locations: DataFrame, physical: DataFrame) -> DataFrame:

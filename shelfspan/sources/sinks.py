@@ -41,8 +41,10 @@ def complete(spark: SparkSession, folder: str) -> bool:
     return done.distinct().count() == len(EXPORTS)
 
 
-def write_dq(report: DataFrame, folder: str) -> None:
-    """Write the quality report as a table and as lines of text."""
+def write_dq(report: DataFrame, folder: str, details: DataFrame | None = None) -> None:
+    """Write the quality report as a table and as lines of text, and its details as a table."""
+    if details is not None:
+        details.write.mode("overwrite").parquet(f"{folder}/details")
     report.write.mode("overwrite").parquet(f"{folder}/table")
     line = F.concat(
         F.col("check"), F.lit(" / "), F.col("measure"), F.lit(": "), F.col("value").cast("string")

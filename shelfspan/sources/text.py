@@ -237,6 +237,24 @@ def rejected_lines(lines: DataFrame, line: str = "value") -> DataFrame:
     return lines.where(is_data_line(F.col(line)) & short)
 
 
+def doubtful_lines(lines: DataFrame, line: str = "value") -> DataFrame:
+    """Counts of lines that become records but not as they stand, one row.
+
+    A line of more than six fields has a comma inside a value, so that what follows is shifted;
+    a branch or a count that is no number turns into null or zero.
+    """
+    part = F.transform(F.split(F.col(line), ","), strip)
+    records = lines.where(is_data_line(F.col(line))).select(part.alias("_part"))
+    records = records.where((F.size("_part") >= 6) & whole_number(F.col("_part")[0]).isNotNull())
+    branch = null_words_to_null(F.col("_part")[1])
+    count = F.replace(F.col("_part")[4], F.lit(" "), F.lit(""))
+    return records.agg(
+        F.count_if(F.size("_part") > 6).alias("shifted"),
+        F.count_if(branch.isNotNull() & whole_number(branch).isNull()).alias("branch_unreadable"),
+        F.count_if(whole_number(count).isNull()).alias("count_unreadable"),
+    )
+
+
 def read_export_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of the export, bytes that are no UTF-8 replaced, with their place."""
     return spark.read.text(path).select(

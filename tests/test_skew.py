@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfspan.operators import flags, keys, ordered
-from shelfspan.plans import facts
+from shelfspan.plans import facts, metrics
 
 ROWS = 60_000
 
@@ -133,3 +133,24 @@ def test_fill_spreads_a_hot_group(spark, small_partitions):
     assert len(windows) == 4 and sum("windowspecdefinition(_at#" in w for w in windows) == 2
     # Rows are shuffled once, the lines per block three times.
     assert plan.count("Exchange hashpartitioning(") == 4
+
+
+def test_metrics_split_a_hot_branch(spark, small_partitions):
+    n = F.col("id")
+    # A third of the locations in one branch, a sixth in none; the first two are listed twice.
+    branch = F.when(n % 3 == 0, 1).when(n % 6 == 1, F.lit(None)).otherwise(n % 5000).cast("bigint")
+    once = spark.range(0, ROWS, 1, 24).select(
+        n.alias("location_id"), F.sha2(n.cast("string"), 256).alias("code"), F.lit("b").alias("branch_name"),
+        branch.alias("branch_id"), F.lit(False).alias("is_realloc"), F.lit(1).cast("bigint").alias("stock_total"),
+    )
+    cells = once.select(
+        "location_id", F.lit(True).alias("has_physical"), F.lit(2.0).alias("capacity_physical"),
+        F.lit(None).cast("double").alias("capacity_realloc"),
+    )
+    branches = spark.range(5000).select(n.alias("branch_id"), F.concat(F.lit("A"), n % 5).alias("area"))
+    out = metrics.metrics_location(once.unionByName(once.where("location_id < 2")), branches, cells)
+    count, plan = run(out)
+    joins = [line for line in plan.split("Initial Plan")[0].splitlines() if "SortMergeJoin" in line]
+    assert count == ROWS and any("skew=true" in line.lower() and "branch_id" in line for line in joins)
+    total = out.agg(F.sum("capacity_total"), F.count_if(F.col("area").isNull())).first()
+    assert tuple(total) == (2.0 * (ROWS + 2), ROWS // 6)
