@@ -86,6 +86,20 @@ def test_trie_join_expands_large_subtrees(spark):
         assert {r["fingerprint"]: r["root"] for r in simhash_trie.groups(prints, most=most).collect()} == want
 
 
+def test_trie_join_keeps_links_through_many_expansions(spark):
+    codes: list[int] = []  # at least three bits apart
+    for code in range(1 << 9):
+        if all((code ^ c).bit_count() > 2 for c in codes):
+            codes.append(code)
+    # Only bits of the middle third differ, and links in its first bits, so every order of the bits has to carry them on.
+    values = [0x1234560000054321 | (head << 18 | code) << 21 for code in codes for head in (0b000, 0b100)]
+    values += [-1, -2, -4, -8, -16]
+    prints = spark.createDataFrame([(v,) for v in values], "fingerprint long")
+    want = roots(values)
+    assert len(set(want.values())) < len(want)
+    assert {r["fingerprint"]: r["root"] for r in simhash_trie.groups(prints, most=8).collect()} == want
+
+
 def words(text):
     return re.findall(r"[^\W_]+", (text or "").lower())
 
