@@ -12,11 +12,14 @@ from shelfspan.llm import (
     chat_trie,
     decontaminate,
     license_rules,
+    pii_disclosure,
     quality_llr,
     secret_owners,
     sentencepiece_table,
     simhash_trie,
     site_lines,
+    tandem_runs,
+    token_alignment,
     token_counts,
     warc,
 )
@@ -121,3 +124,33 @@ def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
         F.col("type").alias("record_type"),
         F.col("refers_to").cast("long").alias("refers_to"),
     )
+
+
+@query
+def op11_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    path_a, path_b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    found = token_alignment.alignment(table(spark, folder, "documents"), path_a, path_b)
+    digest = F.when(F.col("groups_sha256") == "", F.lit("")).otherwise(F.col("groups_sha256"))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return tandem_runs.periodic_runs(table(spark, folder, "documents"), plant=True)
+
+
+@query
+def op13_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii_disclosure.scan(table(spark, folder, "documents"))
+
+    def n(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        *(n(kind) for kind in pii_disclosure.BASE),
+        F.sha2(pii_disclosure.span_text(F.col("base")), 256).alias("base_sha256"),
+        pii_disclosure.span_text(F.col("spans")).alias("spans"),
+        F.size(F.filter("spans", lambda s: s["kind"] == "linked")).cast("long").alias("n_linked"),
+        F.length("sanitised").cast("long").alias("sanitised_chars"),
+    )
