@@ -30,6 +30,7 @@ from shelfspan.llm.common import checkpointed
 from shelfspan.llm.token_counts import byte_signs
 
 MARK = "▁"
+AT_ONCE = 1 << 20  # characters of texts encoded before their rows are handed on
 ALIGNED = (
     "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
     "pairs array<struct<a:int,b:int,m:long>>"
@@ -75,36 +76,41 @@ def align(ids_a: list[int], ids_b: list[int], bytes_a: list[bytes], bytes_b: lis
     return groups, link_a, link_b
 
 
+def _aligned_row(row, doc, text, a, b, bytes_a, bytes_b) -> list:
+    none = [row, doc, 0, 0, 0, 0, "", []]
+    if not text:
+        return none
+    want = (" " + text).encode("utf-8", "surrogatepass")
+    ids_a, ids_b = a.encode(" " + text, add_special_tokens=False).ids, b.encode(text)
+    if b"".join(bytes_a[i] for i in ids_a) != want or b"".join(bytes_b[i] for i in ids_b) != want:
+        return none
+    groups, link_a, link_b = align(ids_a, ids_b, bytes_a, bytes_b)
+    pair, m = np.unique(link_a * (1 << 32) + link_b, return_counts=True)
+    pairs = [{"a": int(p >> 32), "b": int(p & 0xFFFFFFFF), "m": int(c)} for p, c in zip(pair.tolist(), m.tolist())]
+    digest = hashlib.sha256(groups_text(groups).encode()).hexdigest()
+    return [row, doc, len(ids_a), len(ids_b), len(groups), len(link_a), digest, pairs]
+
+
 def groups_text(groups: list) -> str:
     return ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in groups)
 
 
 def aligned(docs: DataFrame, path_a: str, path_b: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs (ALIGNED): counts, the digest of the groups, and the document's links summed by id pair."""
-    none = [None, 0, 0, 0, 0, "", []]
-
     def worked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b, bytes_a, bytes_b = sides(path_a, path_b)
+        names = [part.split()[0] for part in ALIGNED.split(", ")[:7]] + ["pairs"]
         for batch in batches:
             rows, keys, texts = (batch.column(k).to_pylist() for k in range(3))
-            out = []
-            present = [k for k, t in enumerate(texts) if t]
-            encoded_a = a.encode_batch([" " + texts[k] for k in present], add_special_tokens=False)
-            encoded_b = b.encode([texts[k] for k in present]) if present else []
-            found = {k: (ea.ids, eb) for k, ea, eb in zip(present, encoded_a, encoded_b)}
-            for k, (row, doc) in enumerate(zip(rows, keys)):
-                want = (" " + texts[k]).encode("utf-8", "surrogatepass") if k in found else None
-                ids_a, ids_b = found.get(k, ([], []))
-                if want is None or b"".join(bytes_a[i] for i in ids_a) != want or b"".join(bytes_b[i] for i in ids_b) != want:
-                    out.append([row, doc, *none[1:]])
-                    continue
-                groups, link_a, link_b = align(ids_a, ids_b, bytes_a, bytes_b)
-                pair, m = np.unique(link_a * (1 << 32) + link_b, return_counts=True)
-                pairs = [{"a": int(p >> 32), "b": int(p & 0xFFFFFFFF), "m": int(c)} for p, c in zip(pair.tolist(), m.tolist())]
-                digest = hashlib.sha256(groups_text(groups).encode()).hexdigest()
-                out.append([row, doc, len(ids_a), len(ids_b), len(groups), len(link_a), digest, pairs])
-            names = [part.split()[0] for part in ALIGNED.split(", ")[:7]] + ["pairs"]
-            yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in out], schema=_schema())
+            at = 0
+            while at < len(texts):  # slices of about AT_ONCE characters, so that encodings of a batch never pile up
+                end, size = at + 1, len(texts[at] or "")
+                while end < len(texts) and size + len(texts[end] or "") <= AT_ONCE:
+                    size += len(texts[end] or "")
+                    end += 1
+                out = [_aligned_row(rows[k], keys[k], texts[k], a, b, bytes_a, bytes_b) for k in range(at, end)]
+                at = end
+                yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in out], schema=_schema())
 
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")
