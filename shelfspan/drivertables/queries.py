@@ -16,6 +16,7 @@ from shelfspan.operators import areas, conform, flags, keys, ordered
 from shelfspan.plans import explore, facts, quality
 from shelfspan.plans.model import Model
 from shelfspan.sources import parquet as pq
+from shelfspan.sources import quoted
 from shelfspan.sources import text as txt
 
 QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
@@ -357,6 +358,51 @@ def _export_lines(t: Tables) -> DataFrame:
     return records.unionByName(noise).unionByName(short)
 
 
+def _csv_field(value) -> F.Column:
+    """A value as a quoted CSV field, its quotes doubled."""
+    return F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit('""')), F.lit('"'))
+
+
+def _csv_lines(records: DataFrame, header: str) -> DataFrame:
+    """Records (key >= 0, record) after a header cut into the physical lines of one file, in blocks of a thousand keys."""
+    head = records.sparkSession.createDataFrame([(-1, header)], "key long, record string")
+    lines = head.unionByName(records).select("key", F.posexplode(F.split("record", "\n")).alias("k", "value"))
+    return lines.select(
+        F.lit("generated.csv").alias("file"), (F.floor(F.col("key") / 1000)).alias("block"),
+        (F.col("key") * 1_000_000 + F.col("k")).alias("place"), "value",
+    )
+
+
+@query
+def csv_quoted_records(t: Tables) -> DataFrame:
+    """Customers written as CSV whose names hold quotes and separators and some segments two line breaks, read back."""
+    name = F.concat("c_name", F.lit(' "q"; r'))
+    broken = F.concat("c_mktsegment", F.lit("\n\n"), F.col("c_nationkey").cast("string"))
+    segment = F.when(F.col("c_acctbal") > 0, broken).otherwise(F.col("c_mktsegment"))
+    records = t.table("customer").select(
+        F.col("c_custkey").cast("long").alias("key"),
+        F.concat_ws(";", F.col("c_custkey").cast("string"), _csv_field(name), _csv_field(segment)).alias("record"),
+    )
+    found, _ = quoted.quoted_records(_csv_lines(records, "c_custkey;c_name;c_segment"))
+    table = quoted.parsed(found.where(F.col("place") >= 0), ["c_custkey", "c_name", "c_segment"], ";")
+    return table.select(F.col("c_custkey").cast("long").alias("c_custkey"), "c_name", "c_segment", "n_lines", "open", "n_fields")
+
+
+@query
+def csv_rejects(t: Tables) -> DataFrame:
+    """Suppliers written as CSV of three fields, some with a surplus or a missing one; the records that do not fit."""
+    three = F.array(F.col("s_suppkey").cast("string"), "s_name", F.col("s_acctbal").cast("string"))
+    fields = F.when(F.col("s_nationkey") % 5 == 0, F.concat(three, F.array(F.lit("extra"))))
+    fields = fields.when(F.col("s_nationkey") % 7 == 1, F.slice(three, 1, 2)).otherwise(three)
+    records = t.table("supplier").select(F.col("s_suppkey").cast("long").alias("key"), F.array_join(fields, ",").alias("record"))
+    found, _ = quoted.quoted_records(_csv_lines(records, "a,b,c"))
+    table = quoted.parsed(found.where(F.col("place") >= 0), ["a", "b", "c"], ",")
+    reason = F.when(F.col("n_fields") > 3, "surplus fields").when(F.col("n_fields") < 3, "missing fields")
+    return table.select(
+        F.col("a").cast("long").alias("s_suppkey"), F.col("n_fields").cast("int").alias("n_fields"), reason.alias("reason")
+    ).where("reason is not null")
+
+
 @query
 def parts_union(t: Tables) -> DataFrame:
     customers = t.table("customer").select(

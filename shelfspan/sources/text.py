@@ -14,6 +14,7 @@ from shelfspan.functions.text import null_words_to_null, strip
 from shelfspan.operators.conform import canonicalize, conform_part, normalize_columns
 from shelfspan.operators.keys import conform_code_map
 from shelfspan.schema import AREA_MAP, CODE_MAP, empty
+from shelfspan.sources import quoted
 
 DELIMITERS = (",", ";", "\t", "|")
 
@@ -76,25 +77,75 @@ def _upper_half(encoding: str) -> tuple[str, str]:
 def read_csv(
     spark: SparkSession, path: str | Sequence[str], sep: str, encoding: str = "utf-8"
 ) -> DataFrame:
-    """CSV with header, every column text, with each row's place in its file.
+    """CSV with header, every column text, with each record's place in its file.
 
+    Quoted values may hold line breaks, also where a file is read in many splits (see quoted.py).
     Words that mean a missing value become null.  Single-byte encodings are read as latin-1
-    and mapped character by character.
+    and mapped character by character.  Files read together share the first file's header.
+    """
+    return _fields(spark, csv_records(spark, path, encoding), sep)[0].drop("n_fields", "open")
+
+
+def csv_records(spark: SparkSession, path: str | Sequence[str], encoding: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Records of the files (file, place, record, n_lines, open), those too long to gather, and the first record of each file.
+
+    The first records (headers) are found in the first split of each file alone.
     """
-    single = encoding != "utf-8"
-    # Every column is text; a quote inside a quoted value is written twice.
-    reader = spark.read.options(header=True, sep=sep, quote='"', escape='"')
-    raw = reader.option("encoding", "ISO-8859-1" if single else "UTF-8").csv(path)
-    data = raw.columns
-    located = raw.select("*", _file_name().alias("src_file"), _place().alias("src_row"))
     old, new = _upper_half(encoding) if encoding == "cp1250" else ("", "")
-    table = str.maketrans(old, new)
-    values = []
-    for c in data:
-        value = F.translate(F.col(f"`{c}`"), old, new) if old else F.col(f"`{c}`")
-        known = F.when(~F.col(f"`{c}`").isin(*fv.MISSING_WORDS), value)
-        values.append(known.alias(c.translate(table).replace("\ufeff", "")))
-    return located.select(*values, "src_file", "src_row")
+    value = F.col("value") if encoding == "utf-8" else F.decode(F.col("value").cast("binary"), "ISO-8859-1")
+    lines = spark.read.text(path if isinstance(path, str) else list(path)).select(
+        _file_name().alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        _place().alias("place"),
+        (F.translate(value, old, new) if old else value).alias("value"),
+    )
+    records, overlong = quoted.quoted_records(lines)
+    firsts, _ = quoted.quoted_records(lines.where(F.col("block") == 0))
+    firsts = firsts.where(F.col("record") != "")
+    top = firsts.groupBy("file").agg(F.min("place").alias("place"))
+    return records, overlong, firsts.join(top, ["file", "place"]).select("file", "place", "record")
+
+
+def _fields(spark: SparkSession, found: tuple[DataFrame, DataFrame, DataFrame], sep: str) -> tuple[DataFrame, int]:
+    """Data records under the header's names, missing words null, with src_file and src_row; and the header's width."""
+    records, _, headers = found
+    heads = headers.collect()  # one row per file
+    if not heads:
+        return spark.createDataFrame([], "src_file string, src_row long, n_fields int, open boolean"), 0
+    header = min(heads, key=lambda r: r.file).record.replace("\ufeff", "")
+    names = quoted.header_names(header, sep)
+    tops = spark.createDataFrame([(r.file, r.place) for r in heads], "file string, place long")
+    body = records.where(F.col("record") != "").join(F.broadcast(tops), ["file", "place"], "left_anti")
+    table = quoted.parsed(body, names, sep)
+    values = [F.when(~F.col(f"`{n}`").isin(*fv.MISSING_WORDS), F.col(f"`{n}`")).alias(n) for n in names]
+    return table.select(
+        *values, F.col("file").alias("src_file"), F.col("place").alias("src_row"), "n_fields", "open"
+    ), len(names)
+
+
+def csv_rejects(spark: SparkSession, path: str | Sequence[str], sep: str, encoding: str = "utf-8") -> DataFrame:
+    """Records that do not fit the header: surplus or missing fields, a quote open at the end, or too many lines to gather.
+
+    src_file, src_row, n_fields, expected, reason; the data reader keeps the first of them (cut or filled with nulls).
+    """
+    found = csv_records(spark, path, encoding)
+    table, width = _fields(spark, found, sep)
+    overlong = found[1]
+    if not width:
+        return spark.createDataFrame([], "src_file string, src_row long, n_fields int, expected int, reason string")
+    reason = (
+        F.when(F.col("open"), "open quote")
+        .when(F.col("n_fields") > width, "surplus fields")
+        .when(F.col("n_fields") < width, "missing fields")
+    )
+    found = table.select("src_file", "src_row", F.col("n_fields").cast("int").alias("n_fields"), reason.alias("reason"))
+    too_long = overlong.select(
+        F.col("file").alias("src_file"), F.col("place").alias("src_row"), F.lit(None).cast("int").alias("n_fields"),
+        F.lit("too many lines").alias("reason"),
+    )
+    return found.where("reason is not null").unionByName(too_long).select(
+        "src_file", "src_row", "n_fields", F.lit(width).alias("expected"), "reason"
+    )
 
 
 def sniff_delimiter(spark: SparkSession, path: str) -> str:
