@@ -315,6 +315,8 @@ def _csv_inputs(spark: SparkSession, sources: SourceSet, config: ModelConfig) ->
         ),
         "rejected_lines": rejected.agg(F.count("*").alias("rows")),
         "doubtful_lines": txt.doubtful_lines(lines),
+        # Capacity records with surplus or missing fields, a quote left open, or too many lines to gather.
+        "rejected_fields": txt.rejected_fields(txt.capacity_rejects(spark, path)),
     }
     if "branch_id" in raw.columns:
         losses["unreadable_branches"] = conform.unreadable(raw, "branch_id")

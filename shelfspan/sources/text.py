@@ -179,12 +179,7 @@ def read_parts(spark: SparkSession, path: str) -> DataFrame:
     parquet = [r.path for r in names.where("low like '%.parquet'").orderBy("path").collect()]
     if not csv and not parquet:
         raise FileNotFoundError(f"no parts in {path}")
-    groups: dict[tuple[str, str], list[str]] = {}
-    kinds = survey(spark, csv) if csv else {}
-    for part in csv:
-        kind = kinds.get(part.rsplit("/", 1)[-1])
-        if kind is not None:  # an empty file has neither header nor rows
-            groups.setdefault(kind, []).append(part)
+    groups = _csv_groups(spark, csv)
     scans = [read_csv(spark, parts, ";", encoding) for (encoding, _), parts in groups.items()]
     row = F.col("_metadata.row_index").alias("src_row")
     for alike in _by_schema(spark, parquet).values():
@@ -192,6 +187,43 @@ def read_parts(spark: SparkSession, path: str) -> DataFrame:
     return union_parts([_part(s) for s in scans])
 
 
+def _csv_names(spark: SparkSession, path: str) -> list[str]:
+    names = spark.read.format("binaryFile").load(path).select("path", F.lower("path").alias("low"))
+    return [r.path for r in names.where("low like '%.csv'").orderBy("path").collect()]
+
+
+def _csv_groups(spark: SparkSession, csv: Sequence[str]) -> dict[tuple[str, str], list[str]]:
+    """CSV parts by encoding and header, read together in one scan each; empty files have neither and are left out."""
+    groups: dict[tuple[str, str], list[str]] = {}
+    kinds = survey(spark, csv) if csv else {}
+    for part in csv:
+        kind = kinds.get(part.rsplit("/", 1)[-1])
+        if kind is not None:
+            groups.setdefault(kind, []).append(part)
+    return groups
+
+
+def capacity_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """Records of the capacity file, or of its CSV parts, that do not fit their header (see csv_rejects)."""
+    if path.lower().endswith(".csv"):
+        return csv_rejects(spark, path, ";", detect_encoding(spark, path))
+    found = [csv_rejects(spark, parts, ";", encoding) for (encoding, _), parts in _csv_groups(spark, _csv_names(spark, path)).items()]
+    if not found:
+        return spark.createDataFrame([], "src_file string, src_row long, n_fields int, expected int, reason string")
+    return reduce(DataFrame.unionByName, found)
+
+
+def rejected_fields(rejects: DataFrame) -> DataFrame:
+    """One row of counts: records that do not fit, and of them surplus, missing, open quote and too long."""
+    return rejects.agg(
+        F.count("*").alias("rows"),
+        F.count_if(F.col("reason") == "surplus fields").alias("surplus"),
+        F.count_if(F.col("reason") == "missing fields").alias("missing"),
+        F.count_if(F.col("reason") == "open quote").alias("open_quote"),
+        F.count_if(F.col("reason") == "too many lines").alias("too_long"),
+    )
+
+
 def _by_schema(spark: SparkSession, parts: Sequence[str]) -> dict[str, list[str]]:
     """Parquet files by their columns and types; one footer is read per file."""
     groups: dict[str, list[str]] = {}

@@ -116,3 +116,16 @@ def test_field_count_skips_quoted_separators(spark):
     df = spark.createDataFrame([('a;"b;c";d',), ('"x""y;";;',), ("",), ('"open;',)], "record string")
     got = [r[0] for r in df.select(quoted.field_count(F.col("record"), ";")).collect()]
     assert got == [3, 3, 1, 1]
+
+
+def test_rejected_fields_are_counted_in_one_row(spark, tmp_path):
+    path = tmp_path / "kapacita.csv"
+    path.write_text('a;b;c\n1;x;y\n2;x\n3;x;y;z\n4;"x\ny";z\n5;"open\nto the end\n', encoding="utf-8")
+    got = text.rejected_fields(text.capacity_rejects(spark, str(path))).collect()
+    assert [tuple(r) for r in got] == [(3, 1, 1, 1, 0)]
+    folder = tmp_path / "parts"
+    folder.mkdir()
+    (folder / "p1.csv").write_text("a;b\n1;2;3\n", encoding="utf-8")
+    (folder / "p2.csv").write_text("a;b;c\n1\n", encoding="utf-8")
+    got = text.rejected_fields(text.capacity_rejects(spark, str(folder))).collect()
+    assert [tuple(r) for r in got] == [(2, 1, 1, 0, 0)]
