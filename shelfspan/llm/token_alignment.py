@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -81,15 +80,22 @@ def align(ids_a: list[int], ids_b: list[int], length_a: np.ndarray, length_b: np
     return cut_a, cut_b, ids_a[np.searchsorted(ends_a, pieces)], ids_b[np.searchsorted(ends_b, pieces)]
 
 
-def groups_text(ids_a: list[int], ids_b: list[int], cut_a: np.ndarray, cut_b: np.ndarray) -> str:
+@functools.cache
+def _spelled(size: int, inner: str, last: str) -> tuple[np.ndarray, np.ndarray]:
+    """Decimal ids with the sign that follows them inside a group and at its end, for every id of a vocabulary."""
+    return np.array([f"{i}{inner}" for i in range(size)], dtype=object), np.array([f"{i}{last}" for i in range(size)], dtype=object)
+
+
+def groups_text(ids_a: list[int], ids_b: list[int], cut_a: np.ndarray, cut_b: np.ndarray, size_a: int, size_b: int) -> str:
     """`a1,a2|b1;a3|b2,b3`: the ids of each group, A before B, groups in order."""
-    sep_a, sep_b = np.full(len(ids_a), ",", dtype=object), np.full(len(ids_b), ",", dtype=object)
-    sep_a[cut_a - 1], sep_b[cut_b - 1] = "|", ";"
-    group_a = np.searchsorted(cut_a, np.arange(len(ids_a)), side="right")
-    group_b = np.searchsorted(cut_b, np.arange(len(ids_b)), side="right")
+    a, b = np.asarray(ids_a, np.int64), np.asarray(ids_b, np.int64)
+    (inner_a, last_a), (inner_b, last_b) = _spelled(size_a, ",", "|"), _spelled(size_b, ",", ";")
+    text_a, text_b = inner_a[a], inner_b[b]
+    text_a[cut_a - 1], text_b[cut_b - 1] = last_a[a[cut_a - 1]], last_b[b[cut_b - 1]]
+    group_a = np.searchsorted(cut_a, np.arange(len(a)), side="right")
+    group_b = np.searchsorted(cut_b, np.arange(len(b)), side="right")
     order = np.argsort(np.r_[group_a * 2, group_b * 2 + 1], kind="stable")
-    signs = np.array([*map(str, ids_a), *map(str, ids_b)], dtype=object)[order].tolist()
-    return "".join(itertools.chain.from_iterable(zip(signs, np.r_[sep_a, sep_b][order].tolist())))[:-1]
+    return "".join(np.r_[text_a, text_b][order].tolist())[:-1]
 
 
 def _aligned_rows(rows: list, keys: list, texts: list, sides_of: tuple) -> list[list]:
@@ -113,7 +119,7 @@ def _aligned_rows(rows: list, keys: list, texts: list, sides_of: tuple) -> list[
         cut_a, cut_b, link_a, link_b = align(ids_a, ids_b, length_a, length_b)
         pair, m = np.unique(link_a * (1 << 32) + link_b, return_counts=True)
         pairs = {"a": (pair >> 32).astype(np.int32), "b": (pair & 0xFFFFFFFF).astype(np.int32), "m": m.astype(np.int64)}
-        digest = hashlib.sha256(groups_text(ids_a, ids_b, cut_a, cut_b).encode()).hexdigest()
+        digest = hashlib.sha256(groups_text(ids_a, ids_b, cut_a, cut_b, len(bytes_a), len(bytes_b)).encode()).hexdigest()
         out.append([row, doc, len(ids_a), len(ids_b), len(cut_a), len(link_a), digest, pairs])
     return out
 
