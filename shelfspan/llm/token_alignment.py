@@ -99,28 +99,28 @@ def groups_text(ids_a: list[int], ids_b: list[int], cut_a: np.ndarray, cut_b: np
 
 
 def _aligned_rows(rows: list, keys: list, texts: list, sides_of: tuple) -> list[list]:
-    """ALIGNED rows of one slice of texts."""
+    """ALIGNED rows of one slice of texts; the pairs of all its documents are counted together."""
     a, b, bytes_a, bytes_b, length_a, length_b = sides_of
     present = [k for k, t in enumerate(texts) if t]
     encoded_a = a.encode_ordinary_batch([" " + texts[k] for k in present], num_threads=1) if present else []
     encoded_b = b.encode([texts[k] for k in present]) if present else []
     found = {k: (ea, eb) for k, ea, eb in zip(present, encoded_a, encoded_b)}
-    out = []
+    out, links = [], []
     for k, (row, doc) in enumerate(zip(rows, keys)):
         ids_a, ids_b = found.get(k, ([], []))
         want = (" " + texts[k]).encode("utf-8", "surrogatepass") if k in found else b""
-        if (
-            not want
-            or b"".join(map(bytes_a.__getitem__, ids_a)) != want
-            or b"".join(map(bytes_b.__getitem__, ids_b)) != want
-        ):
-            out.append([row, doc, 0, 0, 0, 0, "", []])
+        if not want or a.decode_bytes(ids_a) != want or b"".join(map(bytes_b.__getitem__, ids_b)) != want:
+            out.append([row, doc, 0, 0, 0, 0, ""])
             continue
         cut_a, cut_b, link_a, link_b = align(ids_a, ids_b, length_a, length_b)
-        pair, m = np.unique(link_a * (1 << 32) + link_b, return_counts=True)
-        pairs = {"a": (pair >> 32).astype(np.int32), "b": (pair & 0xFFFFFFFF).astype(np.int32), "m": m.astype(np.int64)}
+        links.append((k << 32) + (link_a << 16) + link_b)  # ids of A below 2**16, of B below 2**16
         digest = hashlib.sha256(groups_text(ids_a, ids_b, cut_a, cut_b, len(bytes_a), len(bytes_b)).encode()).hexdigest()
-        out.append([row, doc, len(ids_a), len(ids_b), len(cut_a), len(link_a), digest, pairs])
+        out.append([row, doc, len(ids_a), len(ids_b), len(cut_a), len(link_a), digest])
+    key, m = np.unique(np.concatenate(links) if links else np.empty(0, np.int64), return_counts=True)
+    at = np.searchsorted(key >> 32, np.arange(len(texts) + 1))
+    for k, r in enumerate(out):
+        part = slice(at[k], at[k + 1])
+        r.append({"a": ((key[part] >> 16) & 0xFFFF).astype(np.int32), "b": (key[part] & 0xFFFF).astype(np.int32), "m": m[part]})
     return out
 
 
