@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +38,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def slices(sizes: Sequence[int | None], most: int) -> Iterator[tuple[int, int]]:
+    """Start and end of stretches of a list whose sizes add up to at most `most`; a larger one stands alone."""
+    at = size = 0
+    for k, n in enumerate(sizes):
+        if k > at and size + (n or 0) > most:
+            yield at, k
+            at, size = k, 0
+        size += n or 0
+    if at < len(sizes):
+        yield at, len(sizes)
+
+
 def no_nulls(text: Column) -> Column:
     return F.coalesce(text.cast("string"), F.lit(""))
 

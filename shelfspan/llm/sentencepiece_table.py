@@ -8,10 +8,12 @@ text and is remembered.
 
 Blanks become the mark U+2581, one more is put before the text, and nothing else is changed (models with other rules are refused). A
 piece holds the mark only at its start or all through, so texts fall into runs of marks and what follows them, each encoded once
-and looked up again. Characters without a piece become their UTF-8 bytes' pieces.
+and looked up again. Characters without a piece become their UTF-8 bytes' pieces. Every run learnt is decoded from its ids; the
+decoded text is kept beside them only where it is not the run itself.
 
 Defined cases: a null text is empty and has no ids; repeated rows are encoded alike; other columns are never looked at. Memory: one
-Arrow batch, bounded memories of runs and pairs, and the table of one run (a long run is one table of its length).
+Arrow batch, slices of about 262,144 characters, bounded memories of runs and pairs, and the table of one run (a long run is one
+table of its length).
 """
 
 from __future__ import annotations
@@ -23,16 +25,18 @@ import re
 from collections.abc import Iterable, Iterator, Sequence
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspan.llm.common import no_nulls
+from shelfspan.llm.common import no_nulls, slices
 
 MARK = "▁"
-AT_ONCE = 1 << 20  # characters of texts whose runs are learnt together
-REMEMBERED_RUNS = 700_000  # some 300 bytes each
+AT_ONCE = 1 << 18  # characters of texts whose runs are learnt together
+REMEMBERED_RUNS = 300_000  # some 200 bytes each
 REMEMBERED_PAIRS = 1_000_000
 
 
@@ -70,8 +74,10 @@ class PrefixTable:
         signs = set("".join(self.piece))
         self.between = next(c for c in map(chr, range(0xE000, 0xF900)) if c not in signs)
         self.marked = [t.startswith(MARK) for t in self.piece]
-        # Of a run without its first mark: its ids joined by commas, and the text decoded from them.
-        self.known: dict[str, tuple[str, str]] = {}
+        # Of a run without its first mark: its ids joined by commas, and the text decoded from them if that is not the marked run.
+        self.known: dict[str, str] = {}
+        self.older: dict[str, str] = {}  # what was known when the memory was last half full; runs met again move over
+        self.altered: dict[str, str] = {}
         self.chains: dict[int, tuple[bool, list, list]] = {}
 
     def text_of(self, token: int) -> str:
@@ -197,10 +203,10 @@ class PrefixTable:
             return text.split(" ")
         return self.run.findall(MARK + text.replace(" ", MARK))
 
-    def learn(self, new: list[str]) -> dict[str, tuple[str, str]]:
-        """Ids and decoded text of runs."""
+    def learn(self, new: list[str]) -> tuple[dict[str, str], dict[str, str]]:
+        """Ids of runs, and the decoded text of those runs that it changes."""
         id_text, piece = self.id_text, self.piece
-        learnt = {}
+        learnt, altered = {}, {}
         for at in range(0, len(new), 20_000):
             some = new[at : at + 20_000]
             for run, tokens in zip(some, self.tokens(some)):
@@ -209,8 +215,10 @@ class PrefixTable:
                     text = self.spelled(tokens)
                 else:
                     text = "".join([piece[t] for t in tokens])
-                learnt[run] = ",".join([id_text[t] for t in tokens]), text
-        return learnt
+                learnt[run] = ",".join([id_text[t] for t in tokens])
+                if text != MARK + run:
+                    altered[run] = text
+        return learnt, altered
 
     def rows(self, texts: Iterable[str | None]) -> Iterator[tuple[int, str, str]]:
         """Number of ids, ids joined by commas, and decoded text of each text; texts are taken together to learn their runs at once."""
@@ -219,22 +227,33 @@ class PrefixTable:
         size = 0
 
         def settled() -> Iterator[tuple[int, str, str]]:
-            learnt = self.learn(sorted(new))
+            learnt, altered = self.learn(sorted(new))
+            changed = self.altered | altered
             for found, known in waiting:
                 if None in known:
-                    known = [k or learnt[run] for run, k in zip(found, known)]
-                ids = ",".join([k[0] for k in known])
+                    known = [k or learnt.get(run) or self.known[run] for run, k in zip(found, known)]
+                ids = ",".join(known)
                 # A character's bytes never reach over the end of a run, so runs can be decoded one by one.
-                yield ids.count(",") + 1 if ids else 0, ids, self.unmarked("".join([k[1] for k in known]))
-            if len(self.known) > REMEMBERED_RUNS:
-                self.known.clear()
+                if changed and not changed.keys().isdisjoint(found):
+                    text = "".join([changed.get(run, MARK + run) for run in found])
+                else:
+                    text = MARK + MARK.join(found) if found else ""
+                yield ids.count(",") + 1 if ids else 0, ids, self.unmarked(text)
             self.known.update((run, k) for run, k in learnt.items() if len(run) <= 64)
+            self.altered.update((run, k) for run, k in altered.items() if len(run) <= 64)
+            if len(self.known) > REMEMBERED_RUNS // 2:
+                self.known, self.older = {}, self.known
+                self.altered = {run: k for run, k in self.altered.items() if run in self.older}
 
         for text in texts:
             found = self.runs_of(text or "")
             known = list(map(self.known.get, found))
             if None in known:
-                new.update([run for run, k in zip(found, known) if k is None])
+                for run in {run for run, k in zip(found, known) if k is None}:
+                    if (ids := self.older.get(run)) is None:
+                        new.add(run)
+                    else:
+                        self.known[run] = ids
             waiting.append((found, known))
             size += len(text or "")
             if size >= AT_ONCE:
@@ -326,13 +345,12 @@ def encoded(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
     def worked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = prefix_table(path)
         for batch in batches:
-            # A few texts at a time: ids take more room than the texts.
-            for at in range(0, len(batch), 64):
-                some = batch.slice(at, 64)
-                found = list(table.rows(t.as_py() for t in some.column("text")))
-                ids = pa.array([[int(k) for k in f[1].split(",") if k] for f in found], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays(
-                    [some.column("key"), ids, pa.array([f[2] for f in found], pa.string())], ["key", "ids", "decoded"]
-                )
+            # A slice at a time, and numbers in arrays: lists of ids take many times the room of the texts.
+            for at, end in slices(pc.utf8_length(batch.column("text")).to_pylist(), AT_ONCE):
+                some = batch.slice(at, end - at)
+                found = [(np.fromstring(ids, np.int32, sep=","), text) for _, ids, text in table.rows(t.as_py() for t in some.column("text"))]
+                offsets = pa.array(np.cumsum([0, *(len(f[0]) for f in found)]), pa.int32())
+                ids = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([f[0] for f in found]), pa.int32()))
+                yield pa.RecordBatch.from_arrays([some.column("key"), ids, pa.array([f[1] for f in found], pa.string())], ["key", "ids", "decoded"])
 
     return rows.mapInArrow(worked, f"key {kind}, ids array<int>, decoded string").withColumnRenamed("key", key)

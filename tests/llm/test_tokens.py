@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import tracemalloc
 
 import public_tokenizers
 import sentencepiece
@@ -73,3 +74,44 @@ def test_forgetting_runs_changes_nothing(monkeypatch, sample_texts):
     assert table.decode([1, 260, 0, 230, 175, 169, 3, 200, 2]) == sentencepiece.SentencePieceProcessor(model_file=PIECES).decode(
         [1, 260, 0, 230, 175, 169, 3, 200, 2]
     )
+
+
+def test_runs_remembered_take_little_room():
+    table = sentencepiece_table.PrefixTable(PIECES)
+    words = [f"{k:06x}" for k in range(400_000)]
+    texts = [" ".join(["the", *words[k : k + 1000]]) for k in range(0, len(words), 1000)]
+    tracemalloc.start()
+    n = sum(1 for _ in table.rows(texts))
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert n == len(texts)
+    assert held < 100e6
+
+
+def test_frequent_runs_stay_remembered(monkeypatch):
+    monkeypatch.setattr(sentencepiece_table, "REMEMBERED_RUNS", 40)
+    monkeypatch.setattr(sentencepiece_table, "AT_ONCE", 10)
+    table, learnt = sentencepiece_table.PrefixTable(PIECES), []
+    learn = table.learn
+    monkeypatch.setattr(table, "learn", lambda new: learnt.extend(new) or learn(new))
+    texts = [f"the word{k} mark" for k in range(500)]
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    assert [ids for _, ids, _ in table.rows(texts)] == [",".join(map(str, library.encode(t))) for t in texts]
+    assert (learnt.count("the"), learnt.count("mark")) == (1, 1)
+
+
+def test_text_is_decoded_from_the_ids(monkeypatch):
+    monkeypatch.setattr(sentencepiece_table, "REMEMBERED_RUNS", 4)
+    monkeypatch.setattr(sentencepiece_table, "AT_ONCE", 10)
+    table = sentencepiece_table.PrefixTable(PIECES)
+    table.piece[table.id["▁the"]] = "▁other"
+    texts = ["the cat", "a the b", "the", *(f"more {k}" for k in range(9)), "at the end", " the  the"]
+    assert [t for _, _, t in table.rows(texts)] == [t.replace("the", "other") for t in texts]
+
+
+def test_encoded_hands_on_slices(monkeypatch, spark, documents):
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    rows = [(k, t) for k, t in enumerate(["x y " * 200_000, None, "", "one two", *(f"text {k}" for k in range(300)), "漢 " * 90_000])]
+    got = sentencepiece_table.encoded(documents(rows).coalesce(1), PIECES).collect()
+    want = [(k, library.encode(t or ""), t or "") for k, t in rows]
+    assert sorted((r["doc_id"], r["ids"], r["decoded"]) for r in got) == want
