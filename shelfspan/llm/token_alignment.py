@@ -1,9 +1,9 @@
 """Cross-tokenizer alignment: the tokens of two vocabularies over the same bytes, cut into groups where both end together.
 
-Method. Both tokenizations of a text give byte lengths per token, and cumulative ends. Each side keeps a dictionary from end to
-token index; the intersection of the two key sets is the set of common ends, and the sorted common keys slice both id lists into
-groups. Within a slice, the links are the pairs of an A and a B token whose byte ranges overlap: walking the merged ends of the
-slice, every piece between two neighbouring ends lies under one A and one B token. Links are counted per (A id, B id) over the
+Method. Both tokenizations of a text give byte lengths per token, and cumulative ends (of a slice of texts laid end to end). Each
+side keeps a dictionary from end to token index; the intersection of the two key sets is the set of common ends, and the sorted
+common keys slice both id lists into groups. Within a group, the links are the pairs of an A and a B token whose byte ranges
+overlap: every piece between neighbouring merged ends lies under one A and one B token. Links are counted per (A id, B id) over the
 whole corpus by a grouped sum; a link is best when its count is the highest of any pair with its B id (ties included).
 
 Defined cases: texts that are null, empty, or whose joined token bytes of either side differ from the encoded bytes have no tokens
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from shelfspan.llm.common import checkpointed
+from shelfspan.llm.common import checkpointed, slices
 from shelfspan.llm.token_counts import byte_signs
 
 MARK = "▁"
@@ -65,58 +66,76 @@ def sides(path_a: str, path_b: str) -> tuple[tiktoken.Encoding, sentencepiece.Se
     return a, b, bytes_a, bytes_b
 
 
-def align(ids_a: list[int], ids_b: list[int], length_a: np.ndarray, length_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Where both id lists are cut into groups (token counts up to each common end, for A and for B), and the links as arrays of
-    A and B ids, in byte order."""
-    ids_a, ids_b = np.asarray(ids_a, np.int64), np.asarray(ids_b, np.int64)
+def align(
+    ids_a: np.ndarray, ids_b: np.ndarray, length_a: np.ndarray, length_b: np.ndarray, stop_a: np.ndarray, stop_b: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts laid end to end, with the token counts before each and at the end: where both id lists are cut into groups (token
+    counts up to each common end, for A and for B), and the links as arrays of the places of their A and B tokens: first those
+    whose piece ends with a B token, then the others, each in byte order."""
     ends_a, ends_b = np.cumsum(length_a[ids_a]), np.cumsum(length_b[ids_b])
-    at_a = dict(zip(ends_a.tolist(), range(1, len(ids_a) + 1)))
-    at_b = dict(zip(ends_b.tolist(), range(1, len(ids_b) + 1)))
-    common = sorted(at_a.keys() & at_b.keys())
-    cut_a = np.fromiter(map(at_a.__getitem__, common), np.int64, len(common))
-    cut_b = np.fromiter(map(at_b.__getitem__, common), np.int64, len(common))
+    cut_a, cut_b = [], []
+    for (from_a, to_a), (from_b, to_b) in zip(itertools.pairwise(stop_a.tolist()), itertools.pairwise(stop_b.tolist())):
+        at_a = dict(zip(ends_a[from_a:to_a].tolist(), range(from_a + 1, to_a + 1)))
+        at_b = dict(zip(ends_b[from_b:to_b].tolist(), range(from_b + 1, to_b + 1)))
+        cut_a += [k for end, k in at_a.items() if end in at_b]  # ends rise, so both are in order
+        cut_b += [k for end, k in at_b.items() if end in at_a]
+    cut_a, cut_b = np.array(cut_a, np.int64), np.array(cut_b, np.int64)
     # Every piece between neighbouring ends of the merged set lies under one A token and one B token: one link each.
-    pieces = np.union1d(ends_a, ends_b)
-    return cut_a, cut_b, ids_a[np.searchsorted(ends_a, pieces)], ids_b[np.searchsorted(ends_b, pieces)]
+    alone = np.ones(len(ids_a), bool)
+    alone[cut_a - 1] = False
+    alone = np.flatnonzero(alone)
+    link_a = np.concatenate([np.searchsorted(ends_a, ends_b), alone])
+    link_b = np.concatenate([np.arange(len(ids_b)), np.searchsorted(ends_b, ends_a[alone])])
+    return cut_a, cut_b, link_a, link_b
 
 
 @functools.cache
-def _spelled(size: int, inner: str, last: str) -> tuple[np.ndarray, np.ndarray]:
-    """Decimal ids with the sign that follows them inside a group and at its end, for every id of a vocabulary."""
-    return np.array([f"{i}{inner}" for i in range(size)], dtype=object), np.array([f"{i}{last}" for i in range(size)], dtype=object)
+def _spelled(size_a: int, size_b: int) -> np.ndarray:
+    """Decimal ids with the sign that follows them: of A inside a group, of A at its end, of B inside, of B at its end."""
+    signs = ((size_a, ","), (size_a, "|"), (size_b, ","), (size_b, ";"))
+    return np.array([f"{i}{sign}" for size, sign in signs for i in range(size)], dtype=object)
 
 
-def groups_text(ids_a: list[int], ids_b: list[int], cut_a: np.ndarray, cut_b: np.ndarray, size_a: int, size_b: int) -> str:
-    """`a1,a2|b1;a3|b2,b3`: the ids of each group, A before B, groups in order."""
-    a, b = np.asarray(ids_a, np.int64), np.asarray(ids_b, np.int64)
-    (inner_a, last_a), (inner_b, last_b) = _spelled(size_a, ",", "|"), _spelled(size_b, ",", ";")
-    text_a, text_b = inner_a[a], inner_b[b]
-    text_a[cut_a - 1], text_b[cut_b - 1] = last_a[a[cut_a - 1]], last_b[b[cut_b - 1]]
-    group_a = np.searchsorted(cut_a, np.arange(len(a)), side="right")
-    group_b = np.searchsorted(cut_b, np.arange(len(b)), side="right")
-    order = np.argsort(np.r_[group_a * 2, group_b * 2 + 1], kind="stable")
-    return "".join(np.r_[text_a, text_b][order].tolist())[:-1]
+def spelled_groups(ids_a: np.ndarray, ids_b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray, size_a: int, size_b: int) -> list[str]:
+    """The parts of `a1,a2|b1;a3|b2,b3;`: the ids of each group with the signs after them, A before B, groups in order."""
+    per_a, per_b = np.diff(cut_a, prepend=0), np.diff(cut_b, prepend=0)
+    # An A token comes after the B tokens of earlier groups, a B token after the A tokens of its own group too.
+    spelling = np.empty(len(ids_a) + len(ids_b), np.int64)
+    last_a, last_b = np.zeros(len(ids_a), np.int64), np.zeros(len(ids_b), np.int64)
+    last_a[cut_a - 1], last_b[cut_b - 1] = size_a, size_b
+    spelling[np.arange(len(ids_a)) + np.repeat(cut_b - per_b, per_a)] = ids_a + last_a
+    spelling[np.arange(len(ids_b)) + np.repeat(cut_a, per_b)] = ids_b + last_b + 2 * size_a
+    return _spelled(size_a, size_b)[spelling].tolist()
 
 
 def _aligned_rows(rows: list, keys: list, texts: list, sides_of: tuple) -> list[list]:
-    """ALIGNED rows of one slice of texts; the pairs of all its documents are counted together."""
+    """ALIGNED rows of one slice of texts, which are laid end to end: both tokenizations end where a text does, so none reaches
+    into the next. The pairs of all its documents are counted together."""
     a, b, bytes_a, bytes_b, length_a, length_b = sides_of
     present = [k for k, t in enumerate(texts) if t]
     encoded_a = a.encode_ordinary_batch([" " + texts[k] for k in present], num_threads=1) if present else []
-    encoded_b = b.encode([texts[k] for k in present]) if present else []
-    found = {k: (ea, eb) for k, ea, eb in zip(present, encoded_a, encoded_b)}
-    out, links = [], []
-    for k, (row, doc) in enumerate(zip(rows, keys)):
-        ids_a, ids_b = found.get(k, ([], []))
-        want = (" " + texts[k]).encode("utf-8", "surrogatepass") if k in found else b""
-        if not want or a.decode_bytes(ids_a) != want or b"".join(map(bytes_b.__getitem__, ids_b)) != want:
-            out.append([row, doc, 0, 0, 0, 0, ""])
-            continue
-        cut_a, cut_b, link_a, link_b = align(ids_a, ids_b, length_a, length_b)
-        links.append((k << 32) + (link_a << 16) + link_b)  # ids of A below 2**16, of B below 2**16
-        digest = hashlib.sha256(groups_text(ids_a, ids_b, cut_a, cut_b, len(bytes_a), len(bytes_b)).encode()).hexdigest()
-        out.append([row, doc, len(ids_a), len(ids_b), len(cut_a), len(link_a), digest])
-    key, m = np.unique(np.concatenate(links) if links else np.empty(0, np.int64), return_counts=True)
+    encoded_b = b.encode([texts[k] for k in present], num_threads=1) if present else []
+    found = []
+    for k, ids_a, ids_b in zip(present, encoded_a, encoded_b):
+        want = (" " + texts[k]).encode("utf-8", "surrogatepass")
+        if a.decode_bytes(ids_a) == want and b"".join(map(bytes_b.__getitem__, ids_b)) == want:
+            found.append((k, ids_a, ids_b))
+    out = [[row, doc, 0, 0, 0, 0, ""] for row, doc in zip(rows, keys)]
+    key = m = np.empty(0, np.int64)
+    if found:
+        stop_a, stop_b = (np.cumsum([0, *(len(f[side]) for f in found)]) for side in (1, 2))
+        ids_a, ids_b = (np.concatenate([np.array(f[side], np.int64) for f in found]) for side in (1, 2))
+        cut_a, cut_b, link_a, link_b = align(ids_a, ids_b, length_a, length_b, stop_a, stop_b)
+        doc_of = np.repeat([f[0] for f in found], np.diff(stop_a))  # of every A token
+        # ids of A below 2**16, of B below 2**16
+        key, m = np.unique((doc_of[link_a] << 32) + (ids_a[link_a] << 16) + ids_b[link_b], return_counts=True)
+        n_links = np.bincount(doc_of[link_a], minlength=len(texts))
+        groups = np.searchsorted(cut_a, stop_a, side="right")
+        parts = spelled_groups(ids_a, ids_b, cut_a, cut_b, len(bytes_a), len(bytes_b))
+        for d, (k, of_a, of_b) in enumerate(found):
+            text = "".join(parts[stop_a[d] + stop_b[d] : stop_a[d + 1] + stop_b[d + 1]])[:-1]
+            digest = hashlib.sha256(text.encode()).hexdigest()
+            out[k][2:] = [len(of_a), len(of_b), int(groups[d + 1] - groups[d]), int(n_links[k]), digest]
     at = np.searchsorted(key >> 32, np.arange(len(texts) + 1))
     for k, r in enumerate(out):
         part = slice(at[k], at[k + 1])
@@ -131,14 +150,8 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, key: str = "doc_id", text
         sides_of = (a, b, bytes_a, bytes_b, np.array([len(x) for x in bytes_a]), np.array([len(x) for x in bytes_b]))
         for batch in batches:
             rows, keys, texts = (batch.column(k).to_pylist() for k in range(3))
-            at = 0
-            while at < len(texts):  # slices of about AT_ONCE characters, so that encodings of a batch never pile up
-                end, size = at + 1, len(texts[at] or "")
-                while end < len(texts) and size + len(texts[end] or "") <= AT_ONCE:
-                    size += len(texts[end] or "")
-                    end += 1
+            for at, end in slices([len(t or "") for t in texts], AT_ONCE):  # so that encodings of a batch never pile up
                 yield _batch(_aligned_rows(rows[at:end], keys[at:end], texts[at:end], sides_of))
-                at = end
 
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")

@@ -303,3 +303,37 @@ def test_op11_hot_pairs_split_alike(spark, documents, rows):
 
 def test_op11_empty_table(spark, documents, folder):
     assert QUERIES["op11_token_alignment"](spark, folder(documents([]).limit(0))).count() == 0
+
+
+def test_op11_texts_laid_end_to_end_align_as_alone(sample_texts):
+    a, b, bytes_a, bytes_b = token_alignment.sides(PATH_A, PATH_B)
+    length_a, length_b = (np.array([len(x) for x in side]) for side in (bytes_a, bytes_b))
+    texts = [t for t in sample_texts if t]
+    ids = [(np.array(a.encode_ordinary(" " + t)), np.array(b.encode(t))) for t in texts]
+    stops = [np.cumsum([0, *(len(pair[side]) for pair in ids)]) for side in (0, 1)]
+    whole = [np.concatenate([pair[side] for pair in ids]) for side in (0, 1)]
+    cut_a, cut_b, link_a, link_b = token_alignment.align(*whole, length_a, length_b, *stops)
+    want_cuts, want_links = [], []
+    for k, (ids_a, ids_b) in enumerate(ids):
+        ends_a, ends_b = np.cumsum(length_a[ids_a]).tolist(), np.cumsum(length_b[ids_b]).tolist()
+        common = sorted({*ends_a} & {*ends_b})
+        want_cuts += [(stops[0][k] + ends_a.index(e) + 1, stops[1][k] + ends_b.index(e) + 1) for e in common]
+        for i, end_a in enumerate(ends_a):
+            for j, end_b in enumerate(ends_b):
+                if end_a - length_a[ids_a[i]] < end_b and end_b - length_b[ids_b[j]] < end_a:
+                    want_links.append((stops[0][k] + i, stops[1][k] + j))
+    assert list(zip(cut_a, cut_b)) == want_cuts
+    assert sorted(zip(link_a, link_b)) == want_links
+
+
+def test_op11_slices_change_nothing(sample_texts):
+    a, b, bytes_a, bytes_b = token_alignment.sides(PATH_A, PATH_B)
+    sides = (a, b, bytes_a, bytes_b, np.array([len(x) for x in bytes_a]), np.array([len(x) for x in bytes_b]))
+    keys = list(range(len(sample_texts)))
+
+    def plain(rows):
+        return [[*map(str, r[:7]), *(r[7][n].tolist() for n in "abm")] for r in rows]
+
+    together = token_alignment._aligned_rows(keys, keys, sample_texts, sides)
+    alone = [r for k in keys for r in token_alignment._aligned_rows([k], [k], [sample_texts[k]], sides)]
+    assert plain(together) == plain(alone)
