@@ -75,10 +75,10 @@ def align(
     ends_a, ends_b = np.cumsum(length_a[ids_a]), np.cumsum(length_b[ids_b])
     cut_a, cut_b = [], []
     for (from_a, to_a), (from_b, to_b) in zip(itertools.pairwise(stop_a.tolist()), itertools.pairwise(stop_b.tolist())):
-        at_a = dict(zip(ends_a[from_a:to_a].tolist(), range(from_a + 1, to_a + 1)))
-        at_b = dict(zip(ends_b[from_b:to_b].tolist(), range(from_b + 1, to_b + 1)))
-        cut_a += [k for end, k in at_a.items() if end in at_b]  # ends rise, so both are in order
-        cut_b += [k for end, k in at_b.items() if end in at_a]
+        of_a, of_b = ends_a[from_a:to_a].tolist(), ends_b[from_b:to_b].tolist()
+        at_a, at_b = dict(zip(of_a, range(from_a + 1, to_a + 1))), dict(zip(of_b, range(from_b + 1, to_b + 1)))
+        cut_a += filter(None, map(at_a.get, of_b))  # ends rise, so both are in order; counts are never zero
+        cut_b += filter(None, map(at_b.get, of_a))
     cut_a, cut_b = np.array(cut_a, np.int64), np.array(cut_b, np.int64)
     # Every piece between neighbouring ends of the merged set lies under one A token and one B token: one link each.
     alone = np.ones(len(ids_a), bool)
