@@ -10,10 +10,13 @@ term in every row, outside base spans, becomes a span of kind `linked`; the sani
 angle brackets (generalised) and removes linked terms.
 
 Defined cases: a null text is empty and has no spans; a null key is carried; repeated rows are scanned alike and each counts as a
-row in c and n; a term cut by the edge of a context reach is left out of that context; spans of different kinds may overlap (an ip
-can be an email's domain), the sanitised text then hides their union; other columns are never looked at. Only DataFrame functions.
-Hot entities and terms shrink in partial sums before they are shuffled; the set of disclosing terms is broadcast only when counted
-below `broadcast_terms`, else joined by a shuffle that adaptive execution may split.
+row in c and n; docs is read several times and must hold the same rows each time, in any order; a term cut by the edge of a context
+reach is left out of that context; spans of different kinds may overlap (an ip can be an email's domain), the sanitised text then
+hides their union; other columns are never looked at. Only DataFrame functions. Hot entities and terms shrink in partial sums before
+they are shuffled. Texts are shuffled once and never stored: linked terms depend on the text alone, so a row meets its terms again by
+its text's MD5 and its key's hash (the key deals copies of a text over the tasks; rows repeated with their key stay together, and
+adaptive execution may split them). The set of disclosing terms is broadcast only when counted below `broadcast_terms`, else joined
+by a shuffle that adaptive execution may split.
 """
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ BASE = {
 }
 KINDS = (*BASE, "linked")
 TERM = r"\p{L}+"
+NAME = ["key_hash", "text_hash"]  # what a row meets its terms by
 SPAN = "array<struct<rank:int,start:int,end:int,kind:string,value:string>>"
 
 
@@ -99,6 +103,11 @@ def _context(text: Column, span: Column, window: int, reach: int) -> Column:
     return F.transform(F.concat(last, F.slice(terms_after, 1, window)), lambda t: F.lower(t))
 
 
+def _terms(text: Column) -> Column:
+    """The distinct terms of a text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), 0), F.lower))
+
+
 def _sanitised(text: Column, spans: Column) -> Column:
     """The text with base spans replaced by <kind> and linked terms removed; overlapping spans hide their union."""
     ordered = F.array_sort(spans, lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(0))
@@ -129,22 +138,21 @@ def scan(
 
     Spans are struct(rank, start, end, kind, value); code points from 0, end exclusive.
     """
-    rows = checkpointed(
-        docs.select(F.col(key).alias("key"), no_nulls(F.col(text)).alias("text"))
-        .withColumn("row", F.monotonically_increasing_id())
-        .withColumn("base", base_spans(F.col("text")))
+    rows = docs.select(F.col(key).alias("key"), no_nulls(F.col(text)).alias("text"))
+    seen = F.flatten(
+        F.transform(
+            base_spans(F.col("text")),
+            lambda s: F.transform(_context(F.col("text"), s, window, reach), lambda t: F.struct(t.alias("term"), s["value"].alias("entity"))),
+        )
     )
     contexts = (
-        rows.where(F.size("base") > 0)
-        .select("row", F.explode(F.transform("base", lambda s: F.struct(s["value"], _context(F.col("text"), s, window, reach).alias("terms")))).alias("c"))
-        .select("row", F.col("c.value").alias("entity"), F.explode("c.terms").alias("term"))
-        .distinct()
-        .groupBy("term", "entity")
+        rows.select(F.explode(F.array_distinct(seen)).alias("c"))
+        .groupBy("c.term", "c.entity")
         .agg(F.count("*").alias("c"))
         .where(F.col("c") >= support)
     )
     held = (
-        rows.select("row", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), 0), F.lower))).alias("term"))
+        rows.select(F.explode(_terms(F.col("text"))).alias("term"))
         .groupBy("term")
         .agg(F.count("*").alias("n"))
     )
@@ -157,11 +165,12 @@ def scan(
     disclosing = checkpointed(disclosing)
     if disclosing.count() <= broadcast_terms:
         disclosing = F.broadcast(disclosing)
+    named = rows.select("*", F.xxhash64("key").alias("key_hash"), F.md5("text").alias("text_hash"))
     terms_of_row = (
-        rows.select("row", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), 0), F.lower))).alias("term"))
+        named.select(*NAME, F.explode(_terms(F.col("text"))).alias("term"))
         .join(disclosing, "term")
-        .groupBy("row")
-        .agg(F.array_sort(F.collect_list("term")).alias("terms"))
+        .groupBy(*NAME)
+        .agg(F.array_sort(F.collect_set("term")).alias("terms"))
     )
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("terms", "|"), F.lit(r")(?!\p{L})"))
     linked = F.when(F.col("terms").isNull(), F.array().cast(SPAN)).otherwise(
@@ -177,7 +186,7 @@ def scan(
     def outside(found: Column) -> Column:
         return let(F.col("base"), lambda base: F.filter(found, lambda o: ~F.exists(base, lambda b: (b["start"] < o["end"]) & (o["start"] < b["end"]))))
 
-    joined = rows.join(terms_of_row, "row", "left").withColumn("linked", outside(linked))
+    joined = named.withColumn("base", base_spans(F.col("text"))).join(terms_of_row, NAME, "left").withColumn("linked", outside(linked))
     spans = F.array_sort(F.concat("base", "linked"))
     return joined.select(
         F.col("key").alias(key), "base", spans.alias("spans"), _sanitised(F.col("text"), spans).alias("sanitised")

@@ -224,6 +224,19 @@ def test_op13_sanitised_text(spark, documents):
     assert got[4] == ""
 
 
+def test_op13_texts_are_not_stored(spark, documents, monkeypatch):
+    stored = []
+    kept = pii_disclosure.checkpointed
+    monkeypatch.setattr(pii_disclosure, "checkpointed", lambda df: stored.extend(df.columns) or kept(df))
+    docs = [(1, PRIVATE[2]), (2, PRIVATE[3]), *[(3, PRIVATE[4])] * 3, *[(None, PRIVATE[2])] * 2, (None, None), (None, "")]
+    found = pii_disclosure.scan(documents(docs).repartition(3))
+    got = [(r["doc_id"], pii_disclosure.KINDS[s["rank"]], s["start"], s["end"]) for r in found.collect() for s in r["spans"]]
+    want = [(r[0], *(int(k) if k.isdigit() else k for k in s.split(":"))) for r in plain_pii(docs) for s in r[6].split(",") if s]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert found.count() == len(docs)
+    assert stored == ["term"]
+
+
 def test_op13_empty_table(spark, documents, folder):
     assert QUERIES["op13_pii"](spark, folder(documents([]).limit(0))).count() == 0
 
