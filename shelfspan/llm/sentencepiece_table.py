@@ -8,7 +8,9 @@ text and is remembered.
 
 Blanks become the mark U+2581, one more is put before the text, and nothing else is changed (models with other rules are refused). A
 piece holds the mark only at its start or all through, so texts fall into runs of marks and what follows them, each encoded once
-and looked up again. Characters without a piece become their UTF-8 bytes' pieces. Every run learnt is decoded from its ids; the
+and looked up again. Runs of usual length are encoded side by side: a trie of the pieces, kept as arrays, finds all matches in all of
+them at once, and last[i] is filled for all runs at i = 0, then 1, and so on, the pairs looked up in an array; long runs, and a few
+runs alone, go through the automaton one by one. Characters without a piece become their UTF-8 bytes' pieces. Every run learnt is decoded from its ids; the
 decoded text is kept beside them only where it is not the run itself.
 
 Defined cases: a null text is empty and has no ids; repeated rows are encoded alike; other columns are never looked at. Memory: one
@@ -38,6 +40,77 @@ MARK = "▁"
 AT_ONCE = 1 << 18  # characters of texts whose runs are learnt together
 REMEMBERED_RUNS = 300_000  # some 200 bytes each
 REMEMBERED_PAIRS = 1_000_000
+USUAL = 64  # characters; longer runs are neither remembered nor encoded side by side
+SIDE_BY_SIDE = 100  # runs; fewer are sooner done one by one
+PAIR_SLOTS = 20  # bits; a pair remembered gives way to another one of its slot
+
+
+class PieceTrie:
+    """The pieces by their characters, in arrays: a node's child by a sign lies at the hash of the two or in the next slots."""
+
+    def __init__(self, pieces: dict[str, int]):
+        signs = sorted(set("".join(pieces)))
+        self.sign = np.zeros(0x110000, np.uint16 if len(signs) < 1 << 16 else np.int32)  # of a character; 0: in no piece
+        self.sign[[ord(c) for c in signs]] = np.arange(1, len(signs) + 1)
+        nodes: dict[tuple[int, str], int] = {}
+        token = [-1]
+        for text, k in pieces.items():
+            node = 0
+            for c in text:
+                child = nodes.setdefault((node, c), len(token))
+                if child == len(token):
+                    token.append(-1)
+                node = child
+            token[node] = k
+        self.token = np.array(token, np.int32)
+        self.n_signs = len(signs) + 1
+        bits = (2 * len(nodes)).bit_length()
+        self.mask, self.shift = (1 << bits) - 1, np.uint64(64 - bits)
+        self.keys, self.children = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+        at = {c: k for k, c in enumerate(signs, 1)}
+        keys = np.array([node * self.n_signs + at[c] for node, c in nodes], np.int64)
+        for key, slot, child in zip(keys.tolist(), _hashed(keys, self.shift).tolist(), nodes.values()):
+            while self.keys[slot] >= 0:
+                slot = (slot + 1) & self.mask
+            self.keys[slot], self.children[slot] = key, child
+
+    def child(self, node: np.ndarray, sign: np.ndarray) -> np.ndarray:
+        """The nodes' children; -1 where there is none."""
+        key = node.astype(np.int64) * self.n_signs + sign
+        slot = _hashed(key, self.shift)
+        held = self.keys.take(slot)
+        hit = held == key
+        child = np.where(hit, self.children.take(slot), -1)
+        seek = np.flatnonzero(~hit & (held >= 0))
+        while len(seek):
+            slot[seek] = (slot[seek] + 1) & self.mask
+            held, wanted = self.keys[slot[seek]], key[seek]
+            hit = held == wanted
+            child[seek[hit]] = self.children[slot[seek[hit]]]
+            seek = seek[~hit & (held >= 0)]
+        return child
+
+    def matches(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where a piece begins, its length and its number, for all pieces at all places of a text given by its characters' numbers."""
+        sign = np.append(self.sign[codes], 0).astype(np.int64)
+        begin = np.flatnonzero(sign)
+        node = self.child(np.zeros(len(begin), np.int64), sign[begin])
+        found, length = [], 0
+        while len(begin):
+            length += 1
+            token = self.token.take(node)
+            is_piece = token >= 0
+            found.append((begin[is_piece], np.full(np.count_nonzero(is_piece), length, np.int64), token[is_piece]))
+            follows = sign.take(begin + length)
+            goes_on = np.flatnonzero(follows)
+            begin, node = begin.take(goes_on), self.child(node.take(goes_on), follows.take(goes_on))
+            goes_on = np.flatnonzero(node >= 0)
+            begin, node = begin.take(goes_on), node.take(goes_on)
+        return tuple(np.concatenate(part) if part else np.empty(0, np.int64) for part in (zip(*found) if found else ((), (), ())))
+
+
+def _hashed(keys: np.ndarray, shift: np.uint64) -> np.ndarray:
+    return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> shift).view(np.int64)
 
 
 class PrefixTable:
@@ -68,6 +141,9 @@ class PrefixTable:
         for text, k in self.id.items():
             self.automaton.add_word(text, (len(text), k))
         self.automaton.make_automaton()
+        self.trie = PieceTrie(self.id)
+        self.whole = np.full(n, -1, np.int8)  # whether a token's text merges into it; -1: not yet found out
+        self.pair_slots = np.full(1 << PAIR_SLOTS, -2, np.int64)  # twice the pair's number, and one if the two go together
         self.run = re.compile(f"{MARK}({MARK}*[^{MARK}]+|{MARK}*)")
         self.pairs: dict[int, bool] = {}
         self.id_text = [str(k) for k in range(n)]
@@ -148,10 +224,76 @@ class PrefixTable:
                 j += 1
 
     def tokens(self, runs: list[str]) -> list[list[int]]:
-        """Tokens of runs, each without its first mark; a character without a piece is the vocabulary's size plus its number.
-
-        The runs lie one behind the other in one text and one table, between characters that no piece holds.
-        """
+        """Tokens of runs, each without its first mark; a character without a piece is the vocabulary's size plus its number."""
+        usual = [run for run in runs if len(run) <= USUAL]
+        if len(usual) < SIDE_BY_SIDE:
+            return self._tokens_one_by_one(runs)
+        found = self._tokens_side_by_side(usual)
+        if len(usual) == len(runs):
+            return found
+        rest = iter(self._tokens_one_by_one([run for run in runs if len(run) > USUAL]))
+        some = iter(found)
+        return [next(some if len(run) <= USUAL else rest) for run in runs]
+
+    def _whole(self, tokens: np.ndarray) -> np.ndarray:
+        """Whether each token's text merges into it."""
+        for token in np.unique(tokens[self.whole[tokens] < 0]).tolist():
+            self.whole[token] = self._chains(token)[0]
+        return self.whole[tokens] > 0
+
+    def _tokens_side_by_side(self, runs: list[str]) -> list[list[int]]:
+        """As tokens, for runs of usual length: last[i] of all runs for one i after the other."""
+        text = self.between.join([MARK + run for run in runs])
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        sizes = np.fromiter(map(len, runs), np.int64, len(runs)) + 1
+        starts = np.cumsum(sizes + 1) - sizes - 1
+        place = (np.arange(len(codes)) - np.repeat(starts, sizes + 1)[: len(codes)]).astype(np.int16)  # within the run
+        last = codes.astype(np.int64) + self.size
+        width = np.ones(len(codes), np.int64)
+        settled = np.zeros(len(codes), bool)
+        begin, length, token = self.trie.matches(codes)
+        end = begin + length - 1
+        at_end = place.take(end)
+        order = np.argsort(at_end, kind="stable")
+        begin, length, token, end = begin.take(order), length.take(order), token.take(order).astype(np.int64), end.take(order)
+        bounds = np.cumsum(np.bincount(at_end, minlength=1)).tolist()
+        base, shift = self.size + 0x110000, np.uint64(64 - PAIR_SLOTS)
+        for at, (first, stop) in enumerate(zip([0, *bounds], bounds)):
+            if first == stop:
+                continue
+            ends, lengths, tokens = end[first:stop], length[first:stop], token[first:stop]
+            # Only the piece that is the whole prefix has no token before it.
+            alone = lengths > at
+            fits = np.zeros(stop - first, bool)
+            fits[alone] = self._whole(tokens[alone])
+            key = last.take(begin[first:stop] - 1, mode="wrap") * base + tokens
+            held = self.pair_slots.take(_hashed(key, shift))
+            fits |= (held == key * 2 + 1) & ~alone
+            settled[ends[fits]] = True
+            ask = np.flatnonzero(~((held >> 1 == key) | alone | settled.take(ends)))
+            if len(ask):
+                pairs, which = np.unique(key[ask], return_inverse=True)
+                go = np.array([self._never_merge(*divmod(pair, base)) for pair in pairs.tolist()])
+                self.pair_slots[_hashed(pairs, shift)] = pairs * 2 + go
+                fits[ask] = go[which]
+            last[ends[fits]] = tokens[fits]
+            width[ends[fits]] = lengths[fits]
+        # Back from the ends: the k-th round finds each run's k-th token from its end.
+        rounds, run, place_of_end = [], np.arange(len(runs)), starts + sizes - 1
+        while len(run):
+            rounds.append((run, last[place_of_end]))
+            place_of_end = place_of_end - width[place_of_end]
+            goes_on = np.flatnonzero(place_of_end >= starts[run])
+            run, place_of_end = run[goes_on], place_of_end[goes_on]
+        stops = np.cumsum(np.bincount(np.concatenate([run for run, _ in rounds]), minlength=len(runs)))
+        found = np.empty(stops[-1], np.int64)
+        for k, (run, tokens) in enumerate(rounds, 1):
+            found[stops[run] - k] = tokens
+        found, stops = found.tolist(), stops.tolist()
+        return [found[a:b] for a, b in zip([0, *stops], stops)]
+
+    def _tokens_one_by_one(self, runs: list[str]) -> list[list[int]]:
+        """As tokens. The runs lie one behind the other in one text and one table, between characters that no piece holds."""
         text = self.between.join([MARK + run for run in runs])
         size, mark = self.size, MARK
         last = [size + ord(c) for c in text]  # of the prefix, of its run, that ends here
@@ -207,8 +349,8 @@ class PrefixTable:
         """Ids of runs, and the decoded text of those runs that it changes."""
         id_text, piece = self.id_text, self.piece
         learnt, altered = {}, {}
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
+        for at, end in slices([len(run) for run in new], AT_ONCE):
+            some = new[at:end]
             for run, tokens in zip(some, self.tokens(some)):
                 if max(tokens) >= self.size or min(tokens) < self.first_plain:
                     tokens = self._bytes_spelled(tokens)
@@ -222,44 +364,49 @@ class PrefixTable:
 
     def rows(self, texts: Iterable[str | None]) -> Iterator[tuple[int, str, str]]:
         """Number of ids, ids joined by commas, and decoded text of each text; texts are taken together to learn their runs at once."""
-        waiting: list[tuple[list[str], list]] = []
-        new: set[str] = set()
+        waiting: list[list[str]] = []
         size = 0
-
-        def settled() -> Iterator[tuple[int, str, str]]:
-            learnt, altered = self.learn(sorted(new))
-            changed = self.altered | altered
-            for found, known in waiting:
-                if None in known:
-                    known = [k or learnt.get(run) or self.known[run] for run, k in zip(found, known)]
-                ids = ",".join(known)
-                # A character's bytes never reach over the end of a run, so runs can be decoded one by one.
-                if changed and not changed.keys().isdisjoint(found):
-                    text = "".join([changed.get(run, MARK + run) for run in found])
-                else:
-                    text = MARK + MARK.join(found) if found else ""
-                yield ids.count(",") + 1 if ids else 0, ids, self.unmarked(text)
-            self.known.update((run, k) for run, k in learnt.items() if len(run) <= 64)
-            self.altered.update((run, k) for run, k in altered.items() if len(run) <= 64)
-            if len(self.known) > REMEMBERED_RUNS // 2:
-                self.known, self.older = {}, self.known
-                self.altered = {run: k for run, k in self.altered.items() if run in self.older}
-
         for text in texts:
-            found = self.runs_of(text or "")
-            known = list(map(self.known.get, found))
-            if None in known:
-                for run in {run for run, k in zip(found, known) if k is None}:
-                    if (ids := self.older.get(run)) is None:
-                        new.add(run)
-                    else:
-                        self.known[run] = ids
-            waiting.append((found, known))
+            waiting.append(self.runs_of(text or ""))
             size += len(text or "")
             if size >= AT_ONCE:
-                yield from settled()
-                waiting, size, new = [], 0, set()
-        yield from settled()
+                yield from self._settled(waiting)
+                waiting, size = [], 0
+        yield from self._settled(waiting)
+
+    def _settled(self, waiting: list[list[str]]) -> Iterator[tuple[int, str, str]]:
+        """rows, of texts given by their runs; every distinct run of them is looked up once."""
+        ids, altered = self._ids(set().union(*waiting))
+        for found in waiting:
+            joined = ",".join(map(ids.__getitem__, found))
+            # A character's bytes never reach over the end of a run, so runs can be decoded one by one.
+            if altered and not altered.keys().isdisjoint(found):
+                text = "".join([altered.get(run, MARK + run) for run in found])
+            else:
+                text = MARK + MARK.join(found) if found else ""
+            yield joined.count(",") + 1 if joined else 0, joined, self.unmarked(text)
+
+    def _ids(self, runs: set[str]) -> tuple[dict[str, str], dict[str, str]]:
+        """Ids of runs, and the decoded text of those that it changes, remembered or learnt."""
+        known, older = self.known, self.older
+        ids = dict(zip(runs, map(known.get, runs)))
+        new = []
+        for run in [run for run, k in ids.items() if k is None]:
+            if (k := older.get(run)) is None:
+                new.append(run)
+            else:
+                ids[run] = known[run] = k
+        learnt, altered = self.learn(new)
+        ids.update(learnt)
+        altered.update((run, self.altered[run]) for run in self.altered.keys() & runs)
+        if max(map(len, learnt), default=0) > USUAL:
+            learnt = {run: k for run, k in learnt.items() if len(run) <= USUAL}
+        known.update(learnt)
+        self.altered.update((run, k) for run, k in altered.items() if len(run) <= USUAL)
+        if len(known) > REMEMBERED_RUNS // 2:
+            self.known, self.older = {}, known
+            self.altered = {run: k for run, k in self.altered.items() if run in known}
+        return ids, altered
 
     def row(self, text: str | None) -> tuple[int, str, str]:
         return next(self.rows([text]))

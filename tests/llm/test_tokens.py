@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import tracemalloc
 
 import public_tokenizers
@@ -109,6 +110,37 @@ def test_text_is_decoded_from_the_ids(monkeypatch):
     assert [t for _, _, t in table.rows(texts)] == [t.replace("the", "other") for t in texts]
 
 
+def odd_runs():
+    rng = random.Random(7)
+    signs = "aeinorst" * 4 + "AZ09.,-=_\n\té漢🎉\ue000\ue001▁\x00" + "".join(rng.sample([*map(chr, range(0x20, 0x3000))], 200))
+    runs = {"".join(rng.choices(signs, k=rng.choice([1, 2, 3, 5, 8, 13, 30, 64, 65, 300]))).replace(" ", "") for _ in range(3000)}
+    return sorted(runs | {"", "a", "the", "a" * 64, "a" * 65, "▁", "▁▁the", "=" * 64, "\ue000" * 3})
+
+
+def test_runs_side_by_side_equal_the_library(monkeypatch):
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    runs = odd_runs()
+    texts = [*runs, "\n".join(runs), " ".join(runs)]
+    for slots in (20, 3):  # few slots: pairs give way all the time
+        monkeypatch.setattr(sentencepiece_table, "PAIR_SLOTS", slots)
+        table = sentencepiece_table.PrefixTable(PIECES)
+        got = list(table.rows(texts))
+        assert [[int(k) for k in ids.split(",") if k] for _, ids, _ in got] == [library.encode(t) for t in texts]
+        assert [t for _, _, t in got] == [library.decode(library.encode(t)) for t in texts]
+        alone = table._tokens_one_by_one(runs)
+        assert table.tokens(runs) == alone
+        short = [(run, tokens) for run, tokens in zip(runs, alone) if len(run) <= sentencepiece_table.USUAL]
+        assert table._tokens_side_by_side([run for run, _ in short]) == [tokens for _, tokens in short]
+
+
+def test_usual_runs_are_not_taken_one_by_one(monkeypatch):
+    table = sentencepiece_table.PrefixTable(PIECES)
+    monkeypatch.setattr(table, "automaton", None)
+    texts = [" ".join(f"word{k}x{j}" for j in range(20)) for k in range(50)]
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    assert [ids for _, ids, _ in table.rows(texts)] == [",".join(map(str, library.encode(t))) for t in texts]
+
+
 def test_encoded_hands_on_slices(monkeypatch, spark, documents):
     library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     rows = [(k, t) for k, t in enumerate(["x y " * 200_000, None, "", "one two", *(f"text {k}" for k in range(300)), "漢 " * 90_000])]
